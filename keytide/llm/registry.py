@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import mixing, pii, warc
+from . import mixing, pii, topk, warc
 
-_MODULES = (pii, warc, mixing)
+_MODULES = (pii, warc, mixing, topk)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
