@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import mixing, pii, topk, toxicity, urlfilter, warc
+from . import mixing, pii, simhash, topk, toxicity, urlfilter, warc
 
-_MODULES = (pii, toxicity, urlfilter, warc, mixing, topk)
+_MODULES = (pii, toxicity, simhash, urlfilter, warc, mixing, topk)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -50,10 +50,12 @@ STEM = 5
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = dict(zip("аеіјорсухѕһԁԛԝвкмнтɡıαεικνορτυχ", "aeijopcyxshdqwbkmhtgiaeiknoptux", strict=True))
-DIGITS = dict(zip("0134578@$", "oleastbas", strict=True))
+DIGITS = dict(zip("034578@$", "oeastbas", strict=True))
 #: Invisible characters, which folding drops.
 _FOLD = str.maketrans(LOOKALIKES) | dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
-_DIGIT = str.maketrans(DIGITS)
+#: In a word with digits 1, i and l are one letter, as 1 stands for either.
+_ONE = str.maketrans("il", "11")
+_DIGIT = str.maketrans(DIGITS) | _ONE
 _MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$]|[0134578@$][^\W\d_])[\w@$]*")
 _OTHER = re.compile(r"[^\w]+|_+")
 
@@ -83,6 +85,8 @@ class Lexicon:
     def automaton(self):
         if self._built is None:
             self._built = ahocorasick.Automaton()
+            for word in self.weights:
+                self._built.add_word(f" {word.translate(_ONE)}", (len(word), word))
             for word in self.weights:
                 self._built.add_word(f" {word}", (len(word), word))
             for phrase in self.exceptions:
