@@ -255,7 +255,8 @@ def groups(prints: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = common.materialize(prints_of(docs, id_col, text_col))
-    return prints.join(groups(prints), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    # Written down, the groups are a join's plain side, so that Spark can split a hot fingerprint's rows.
+    return prints.join(common.materialize(groups(prints)), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
