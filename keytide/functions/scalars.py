@@ -69,14 +69,23 @@ def _bytes(x) -> list[bytes | None]:
     return [None if v is None else v.encode("utf-8") if isinstance(v, str) else bytes(v) for v in x]
 
 
-@F.pandas_udf("long")
-def fnv1a64(data: pd.Series) -> pd.Series:
+def fnv1a64(data: Column) -> Column:
     """FNV-1a of strings (UTF-8) or bytes, as a signed long; null for null."""
-    items = _bytes(data)
-    return pd.Series(fnv1a_rows(items).view(np.int64), dtype="Int64").mask([x is None for x in items])
 
+    @F.pandas_udf("long")
+    def hashed(x: pd.Series) -> pd.Series:
+        items = _bytes(x)
+        return pd.Series(fnv1a_rows(items).view(np.int64), dtype="Int64").mask([v is None for v in items])
 
-@F.pandas_udf("long")
-def mix64(x: pd.Series) -> pd.Series:
-    """The finalizer of a signed long."""
-    return pd.Series(mix_rows(x.to_numpy(dtype=np.int64).view(np.uint64)).view(np.int64))
+    return hashed(data)
+
+
+def mix64(x: Column) -> Column:
+    """The finalizer of a signed long; null for null."""
+
+    @F.pandas_udf("long")
+    def mixed(v: pd.Series) -> pd.Series:
+        known = v.notna()
+        return pd.Series(mix_rows(v.fillna(0).to_numpy(dtype=np.int64).view(np.uint64)).view(np.int64), dtype="Int64").where(known)
+
+    return mixed(x)
