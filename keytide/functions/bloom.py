@@ -74,13 +74,13 @@ def probe(keys: DataFrame, found: BloomFilter, key: str = "key") -> DataFrame:
     table = np.zeros((found.m + 63) // 64, dtype=np.uint64)
     rows = found.words.toArrow()
     table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
+    shared, m, k = keys.sparkSession.sparkContext.broadcast(table), found.m, found.k
 
     @F.pandas_udf("boolean")
     def contains(x):
         import pandas as pd
 
-        at = scalars.position_rows(scalars._bytes(x), found.m, found.k)
+        at = scalars.position_rows(scalars._bytes(x), m, k)
         bits = shared.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
         return pd.Series(bits.all(axis=1))
 
