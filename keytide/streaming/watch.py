@@ -75,6 +75,8 @@ def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | No
     def write(batch: DataFrame, i: int) -> None:
         # Segment numbers of batches are even, of compactions odd, and rise with the batch.
         segments.write_segment(state.state(batch), path, 2 * i)
+        # A full compaction may drop the newest tombstone, so what has been applied is noted beside the segments.
+        batch.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}.applied/batch={i}")
         if compact_every and (i + 1) % compact_every == 0:
             remove(batch.sparkSession, path, segments.compact_tier(batch.sparkSession, path, 2 * i + 1))
 
@@ -90,12 +92,11 @@ def remove(spark: SparkSession, path: str, ids: list[int]) -> None:
 
 
 def applied_version(spark: SparkSession, path: str) -> Callable[[], int]:
-    """The greatest version in a sink's segments, for the barriers of consistency.py; 0 before the first."""
+    """The greatest version that a segment sink has applied, for the barriers of consistency.py; 0 before the first."""
 
     def now() -> int:
         try:
-            spark.catalog.refreshByPath(path)
-            return segments.read_segments(spark, path).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+            return spark.read.schema("version long, batch long").parquet(f"{path}.applied").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         except Exception as e:  # the folder appears with the first segment
             if "PATH_NOT_FOUND" in str(e):
                 return 0

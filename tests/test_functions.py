@@ -1,0 +1,82 @@
+import random
+import zlib
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from keytide.functions import bloom, scalars
+
+TWO64 = 1 << 64
+
+
+def fnv(data: bytes) -> int:
+    h = scalars.FNV_OFFSET
+    for b in data:
+        h = (h ^ b) * scalars.FNV_PRIME % TWO64
+    return h
+
+
+def mix(x: int) -> int:
+    x = (x ^ x >> 33) * scalars.MIX_MULTIPLIER % TWO64
+    return x ^ x >> 33
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=40)), max_size=20))
+def test_hash_rows(items):
+    assert scalars.fnv1a_rows(items).tolist() == [fnv(x or b"") for x in items]
+    a = scalars.fnv1a_rows(items)
+    assert scalars.mix_rows(a).tolist() == [mix(int(x)) for x in a]
+    m, k = 1009, 5
+    want = [[(fnv(x or b"") + i * mix(fnv(x or b""))) % TWO64 % m for i in range(k)] for x in items]
+    assert scalars.position_rows(items, m, k).tolist() == want if items else True
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([("abc", b"123456789", -5), ("é", b"", 7), (None, None, None)], "s string, b binary, n long")
+    r = df.select(scalars.fnv1a64(F.col("s")).alias("f"), scalars.crc32(F.col("b")).alias("c"), scalars.base64(F.col("b")).alias("e"), scalars.mix64(F.col("n")).alias("m")).collect()
+    assert r[0].f == -1792535898324117685 and r[0].c == 0xCBF43926
+    assert r[1].f % TWO64 == fnv("é".encode()) and r[1].c == 0 and r[1].e == ""
+    assert r[2].f is None and r[2].c is None
+    assert r[0].m % TWO64 == mix(-5 % TWO64) and r[2].m is None
+    long = bytes(range(256)) * 2
+    import base64
+
+    assert spark.createDataFrame([(long,)], "b binary").select(scalars.base64(F.col("b"))).first()[0] == base64.b64encode(long).decode()
+    assert zlib.crc32(long) == spark.createDataFrame([(long,)], "b binary").select(scalars.crc32(F.col("b"))).first()[0]
+
+
+def test_parse_long(spark):
+    given = ["7", "+7", "-12", " 7", "7 ", "x", "", None, "99999999999999999999", "1.5"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in given], "s string").select(scalars.parse_long(F.col("s"))).collect()]
+    assert got == [7, 7, -12, 0, 0, 0, 0, 0, 0, 0]
+
+
+def test_bounds(spark):
+    assert np.allclose(spark.range(1).select(scalars.exponential_bounds(1e-4, 2.0, 14)).first()[0], [1e-4 * 2**i for i in range(14)])
+
+
+def test_bloom_size():
+    assert bloom.size(100_000, 0.01) == (958506, 7)
+
+
+def test_bloom(spark, monkeypatch):
+    keys = spark.range(3000).select(F.concat(F.lit("key-"), "id").alias("key"))
+    absent = spark.range(3000).select(F.concat(F.lit("absent-"), "id").alias("key"))
+    found = bloom.build(keys)
+    assert bloom.probe(keys, found).where("not may_contain").count() == 0
+    passed = bloom.probe(absent, found).where("may_contain").count()
+    assert passed < 0.02 * 3000
+    monkeypatch.setattr(bloom, "MAX_BROADCAST_BITS", 0)
+    assert bloom.probe(keys, found).where("not may_contain").count() == 0
+    assert bloom.probe(absent, found).where("may_contain").count() == passed
+    none = bloom.build(keys.limit(0))
+    assert bloom.probe(keys, none).where("may_contain").count() == 0
+
+
+def test_percent_of_random_bytes():
+    r = random.Random(0)
+    items = [bytes(r.randrange(256) for _ in range(9)) for _ in range(500)]
+    assert len(set(scalars.fnv1a_rows(items).tolist())) == 500

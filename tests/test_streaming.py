@@ -1,0 +1,68 @@
+import pytest
+from pyspark.sql import functions as F
+
+from keytide import model
+from keytide.operators import segments, state
+from keytide.operators.consistency import KvReader
+from keytide.streaming import watch
+
+from .model_log import SCHEMA, live, replay, rows, sequence
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """A log in four files, not in the order of versions."""
+    log = sequence(21)
+    for i, part in enumerate((log[150:], log[:50], log[100:150], log[50:100])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        assert i < 4
+    return log, str(tmp_path)
+
+
+def done(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_watch_sees_every_event_once(spark, files):
+    log, home = files
+    seen: list = []
+    subscribe = lambda: watch.subscribe(watch.command_stream(spark, f"{home}/log", 1), "user:", lambda b, i: seen.append([(r.type, r.key, bytes(r.value), r.version) for r in b.collect()]), f"{home}/ck")
+    done(subscribe())
+    want = [("DELETE" if op == "delete" else "PUT", k, v or b"", n) for n, op, k, v, _ in log if k.startswith("user:")]
+    assert sorted(x for b in seen for x in b) == sorted(want)
+    assert all([x[3] for x in b] == sorted(x[3] for x in b) for b in seen)
+    seen.clear()
+    spark.createDataFrame([(9_999, "delete", "user:absent", None, None)], SCHEMA).write.mode("append").parquet(f"{home}/log")
+    done(subscribe())  # resumes after what it has seen
+    assert [x for b in seen for x in b] == [("DELETE", "user:absent", b"", 9_999)]
+
+
+def test_segment_sink_equals_batch(spark, files):
+    log, home = files
+    done(watch.segment_sink(watch.command_stream(spark, f"{home}/log", 1), f"{home}/seg", f"{home}/ck2", compact_every=4))
+    merged = segments.merge_segments(segments.read_segments(spark, f"{home}/seg"))
+    assert rows(merged.where("not deleted")) == live(log)
+    applied = watch.applied_version(spark, f"{home}/seg")
+    assert applied() == max(n for n, (_, _, _) in [(v[1], v) for v in replay(log).values()])
+    assert watch.applied_version(spark, f"{home}/nowhere")() == 0
+    reader = KvReader(lambda: spark.read.schema(model.COMMANDS).parquet(f"{home}/log"), applied)
+    assert reader.scan("", 0).count() == len(live(log))
+
+
+def test_latest_stream(spark, files):
+    log, home = files
+    q = watch.latest_stream(watch.command_stream(spark, f"{home}/log", 2)).writeStream.outputMode("complete").format("memory").queryName("latest_q").option("checkpointLocation", f"{home}/ck3").trigger(availableNow=True).start()
+    done(q)
+    got = {r.key: (None if r.value is None else bytes(r.value), r.version, r.deleted) for r in spark.table("latest_q").collect()}
+    assert got == replay(log)
+
+
+def test_changes_stream(spark, files):
+    log, home = files
+    q = watch.changes_stream(watch.command_stream(spark, f"{home}/log", 1)).writeStream.outputMode("append").format("memory").queryName("changes_q").option("checkpointLocation", f"{home}/ck4").trigger(availableNow=True).start()
+    done(q)
+    emitted = spark.table("changes_q")
+    last = state.latest(emitted.drop("replaced"))
+    assert {r.key: (None if r.value is None else bytes(r.value), r.version, r.deleted) for r in last.collect()} == replay(log)
+    assert emitted.where(F.col("replaced") >= F.col("version")).count() == 0
