@@ -56,20 +56,39 @@ _FOLD = str.maketrans(LOOKALIKES) | dict.fromkeys([0xAD, *range(0x200B, 0x2010),
 #: In a word with digits 1, i and l are one letter, as 1 stands for either.
 _ONE = str.maketrans("il", "11")
 _DIGIT = str.maketrans(DIGITS) | _ONE
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$]|[0134578@$][^\W\d_])[\w@$]*")
+_STRANGE = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+#: A run between white space that has a digit or sign that may stand for a letter; linear, as it starts only where a run does.
+_MIXED = re.compile(r"(?<!\S)[^\s034578@$1]*+[034578@$1]\S*")
+_PART = re.compile(r"[\w@$]+")
 _OTHER = re.compile(r"[^\w]+|_+")
 
 
-def fold(text: str | None) -> str:
-    """Folded words, a space before each and one at the end."""
+def _read_digits(run: re.Match) -> str:
+    return _PART.sub(lambda m: m.group().translate(_DIGIT) if any(map(str.isalpha, m.group())) and not m.group().isalpha() else m.group(), run.group())
+
+
+def fold_letters(text: str | None) -> str:
+    """The text in lower case with look-alike letters and letter-like digits replaced; whatever separates words stays."""
     if not text:
-        return " "
+        return ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_FOLD)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = text.lower()
+        if _STRANGE.search(text):
+            text = text.translate(_FOLD)
     else:
         text = text.lower()
-    text = _MIXED.sub(lambda m: m.group().translate(_DIGIT), text)
-    return f" {_OTHER.sub(' ', text).strip()} "
+    return _MIXED.sub(_read_digits, text)
+
+
+def spaced(letters: str) -> str:
+    """Words of a folded text, a space before each and one at the end."""
+    return f" {_OTHER.sub(' ', letters).strip()} "
+
+
+def fold(text: str | None) -> str:
+    return spaced(fold_letters(text))
 
 
 class Lexicon:
@@ -77,10 +96,31 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = (), model: tuple[float, float, float] = (0.0, 1.0, 1.0)):
         self.weights, self.exceptions, self.model = weights, exceptions, model
-        self._built = None
+        self._built = self._sieve = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_built": None}
+        return self.__dict__ | {"_built": None, "_sieve": None}
+
+    def sieve(self):
+        """Entries without regard to where words start, for letters that aren't spaced yet."""
+        if self._sieve is None:
+            self._sieve = ahocorasick.Automaton()
+            for word in self.weights:
+                for w in (word, word.translate(_ONE)):
+                    self._sieve.add_word(w, len(w))
+            if len(self._sieve):
+                self._sieve.make_automaton()
+        return self._sieve
+
+    def may_hit(self, letters: str) -> bool:
+        """Whether an entry stands where a word starts: most texts need no more than this."""
+        a = self.sieve()
+        if len(a):
+            for end, size in a.iter(letters):
+                before = end - size
+                if before < 0 or letters[before] == "_" or not letters[before].isalnum():
+                    return True
+        return False
 
     def automaton(self):
         if self._built is None:
@@ -113,7 +153,10 @@ class Lexicon:
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Weight of the hits, damped, and its share of the text's words."""
-        folded = fold(text)
+        letters = fold_letters(text)
+        if not self.may_hit(letters):
+            return 0.0, 0.0
+        folded = spaced(letters)
         weight = sum(self.weights[w] * n for w, n in self.hits(folded).items())
         words = max(1, folded.count(" ") - 1)
         return math.log1p(weight), math.log1p(100 * weight / words)
