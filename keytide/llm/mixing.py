@@ -2,8 +2,8 @@
 
 Every source gets a target number of words. Its documents are taken whole as often as the target holds the source
 (certain copies); what is left of the target is filled in the order of Pareto ranks, the random odds u/(1-u) over the
-inclusion odds p/(1-p), up to the rank at which the target is met, and then one further document, the one whose size
-comes nearest to the words still missing, settles the rest if it brings the sum nearer.
+inclusion odds p/(1-p), up to the rank at which the target is met. Then, SETTLING times, the one document which, taken
+or left against its rank, brings the source's words nearest to the target is taken or left, if any brings them nearer.
 
 The cut is found without gathering a source in one task: ranks fall into about sqrt(n) bins a source, whose word sums
 are accumulated, and only the bin that holds the cut is then sorted. What is broadcast is one row a source, and only
@@ -24,6 +24,8 @@ from . import common
 
 #: Largest number of copies of a document, and so of a source's target in units of its size.
 MAX_COPIES = 3
+#: Documents of a source that may be taken or left against their rank.
+SETTLING = 3
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 #: A row a source: with this many the broadcast stays under 10 MB.
@@ -75,17 +77,13 @@ def _per_source(spark: SparkSession, small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= MAX_BROADCAST_SOURCES else small
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["source"].eqNullSafe(b["source"])
-
-
 def rank(u: Column, p: Column) -> Column:
     """Pareto rank: random odds over inclusion odds."""
     return (u / (1 - u)) / (p / (1 - p))
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """From the rows of sized(), a row a source: target, certain copies, inclusion probability p, the rank up to which documents are taken once more, and the rank of the one that settles the rest."""
+    """From the rows of sized(), a row a source: target, certain copies, inclusion probability p, the bin and rank up to which documents are taken once more, and the ranks that settle the rest."""
     spark = rows.sparkSession
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -127,22 +125,33 @@ def plan(rows: DataFrame) -> DataFrame:
         )
         .select(F.col("source").alias("s"), F.col("cut_bin"), F.col("last.q").alias("q_cut"), (F.col("rest") - F.coalesce("last.upto", "before")).alias("missing"))
     )
-    cuts = common.materialize(cuts)
-    # Rows of one rank count as one document here, as they are taken together.
-    left = ranked.join(_per_source(spark, cuts), F.col("source").eqNullSafe(F.col("s")) & ((F.col("bin") > F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("q") > F.coalesce("q_cut", F.lit(-1.0))))))
-    near = left.where(F.col("size") < 2 * F.col("missing")).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")), "q")).alias("n"), F.first("missing").alias("missing"))
-    near = near.select(F.col("source").alias("s"), F.col("n.q").alias("q_near"), "missing")
-    settled = (
-        ranked.join(_per_source(spark, common.materialize(near)), F.col("source").eqNullSafe(F.col("s")) & (F.col("q") == F.col("q_near")))
-        .groupBy("source", "q_near")
-        .agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-        .where(F.abs(F.col("words") - F.col("missing")) < F.col("missing"))
-        .select(F.col("source").alias("s2"), F.col("q_near"))
-    )
-    return common.materialize(
-        aims.join(cuts, _eq("source", "s"), "left")
-        .join(settled, _eq("source", "s2"), "left")
-        .select("source", "source_size", "target", "copies", "p", "bins", F.coalesce("cut_bin", F.col("bins")).alias("cut_bin"), F.coalesce("q_cut", F.lit(-1.0)).alias("q_cut"), "q_near")
+    cut = aims.join(cuts, _eq("source", "s"), "left").select(
+        "source", "source_size", "target", "copies", "p", "bins",
+        F.coalesce("cut_bin", F.col("bins")).alias("cut_bin"),
+        F.coalesce("q_cut", F.lit(-1.0)).alias("q_cut"),
+        F.coalesce("missing", F.lit(0.0)).alias("missing"),
+        F.array().cast("array<double>").alias("flips"),
+    )
+    now = common.materialize(cut)
+    for _ in range(SETTLING):
+        now = common.materialize(_settled(spark, ranked.select("source", "size", "bin", "q"), now))
+    return now
+
+
+def _settled(spark: SparkSession, ranked: DataFrame, now: DataFrame) -> DataFrame:
+    """The plan with one more document of each source taken or left, that which brings the source nearest to its target, if any does."""
+    at = _per_source(spark, now.select(F.col("source").alias("s"), "cut_bin", "q_cut", "flips", "missing"))
+    adds = F.when(_chosen(), -F.col("size")).otherwise(F.col("size"))
+    moves = ranked.join(at, _eq("source", "s")).withColumn("adds", adds).where(F.abs(F.col("missing") - F.col("adds")) < F.abs("missing"))
+    best = moves.groupBy("source").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("adds")).alias("error"), "q")).alias("best")).select(F.col("source").alias("s2"), F.col("best.q").alias("flip"))
+    # Rows of one rank move together, so their sum decides.
+    wanted = _per_source(spark, common.materialize(now.join(best, _eq("source", "s2"))).select(F.col("source").alias("s"), "cut_bin", "q_cut", "flips", "flip"))
+    sums = ranked.join(wanted, _eq("source", "s") & (F.col("q") == F.col("flip"))).groupBy("source", "flip").agg(F.sum(adds).alias("added")).withColumnRenamed("source", "s2")
+    better = F.abs(F.col("missing") - F.col("added")) < F.abs("missing")
+    return now.join(sums, _eq("source", "s2"), "left").select(
+        *[c for c in now.columns if c not in ("missing", "flips")],
+        F.when(better, F.col("missing") - F.col("added")).otherwise(F.col("missing")).alias("missing"),
+        F.when(better, F.array_append("flips", F.col("flip"))).otherwise(F.col("flips")).alias("flips"),
     )
 
 
@@ -150,12 +159,17 @@ def _eq(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def taken_copies() -> Column:
-    """Copies of a row, from its u and the plan's columns."""
-    q = rank(F.col("u"), F.col("p"))
-    b = F.floor(F.col("u") * F.col("bins"))
-    chosen = (b < F.col("cut_bin")) | ((b == F.col("cut_bin")) & (q <= F.col("q_cut"))) | F.coalesce(q == F.col("q_near"), F.lit(False))
-    return F.col("copies") + F.when(F.col("p").isNotNull() & chosen, 1).otherwise(0)
+def _chosen() -> Column:
+    """Whether a row's rank q in its bin is taken once more."""
+    below = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("q") <= F.col("q_cut")))
+    return below != F.array_contains("flips", F.col("q"))
+
+
+def with_copies(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (source, size, u) with the columns of their source's plan and the number of copies that the mix takes."""
+    met = rows.join(found, _eq("source", "plan_source")).withColumns({"q": rank(F.col("u"), F.col("p")), "bin": F.floor(F.col("u") * F.col("bins"))})
+    once_more = F.when(F.col("p").isNotNull() & _chosen(), 1).otherwise(0)
+    return met.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + once_more).otherwise(0))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -163,8 +177,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = _per_source(docs.sparkSession, _planned(plan(common.materialize(sized(docs, id_col, text_col, source_col, seed)))))
     u = random_unit(F.lit(seed), F.col(f"d.{id_col}"), F.col(f"d.{text_col}"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).select("d", u.alias("u"), F.col(f"d.{source_col}").alias("source"), word_count(F.col(f"d.{text_col}")).alias("size"))
-    times = packed.join(found, _eq("source", "plan_source")).withColumn("times", F.when(F.col("size") > 0, taken_copies()).otherwise(0))
-    return times.where("times > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("d.*")
+    return with_copies(packed, found).where("times > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("d.*")
 
 
 def _planned(found: DataFrame) -> DataFrame:
@@ -175,7 +188,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     rows = common.materialize(sized(common.table(spark, sf_dir, "documents")))
     found = _per_source(spark, _planned(plan(rows)))
-    return rows.join(found, _eq("source", "plan_source")).select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * taken_copies()).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return with_copies(rows, found).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 QUERIES = {"op8_mix": op8_mix}
