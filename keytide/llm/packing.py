@@ -34,14 +34,16 @@ CAPACITY = 2048
 #: The id that ends a document.
 SEPARATOR = 0
 #: Price rounds of the linear program, and how fast prices fall.
-ROUNDS, RATE = 250, 2.0
-#: Runs whose ids a worker remembers in each generation (70 MB), and characters tokenized at a time.
-CACHE, TAKE = 400_000, 1_000_000
+ROUNDS, RATE = 150, 2.0
+#: Runs whose ids a worker remembers in each generation (90 MB), and characters tokenized at a time.
+CACHE, TAKE = 500_000, 2_000_000
 #: Rows in a group of one length and salt, about, and salts at least.
 GROUP, SALTS = 5000, 64
 
 #: Texts of these characters alone are already in composed form and lower-case and split alike here and in the tokenizer.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
+#: The same for ASCII.
+_PLAIN = bytes([*range(9, 14), *range(32, 127)])
 #: Fixed value: the tokenizer's split into words, for such texts in lower case.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
@@ -120,7 +122,8 @@ class Tokens:
             self._old, self._new = self._new, {}
         known, out, unknown = self._new.get, [], set()
         for text in texts:
-            if _OTHER.search(t := text or ""):
+            t = text or ""
+            if t.encode().translate(None, _PLAIN) or "<|" in t if t.isascii() else _OTHER.search(t):
                 out.append((self._whole(t), None, None))
                 continue
             runs = t.lower().split()

@@ -218,7 +218,8 @@ def components(links: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Every node's neighbours (the larger ones, or the others and itself) get the edge to its smallest neighbour."""
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        # Written down, the smallest neighbours are a join's plain side, so that Spark can split a hub's edges.
+        least = common.materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")))
         joined = both.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -59,7 +59,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = http + payload if refers_to is None else http
     name = uuid.uuid5(_NAMESPACE, f"{page_id}/{url}/{digest}")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {_header_value(url)}"] * (url is not None) + [f"X-Page-Id: {page_id}"] * (page_id is not None)
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_header_value(url)}")
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]

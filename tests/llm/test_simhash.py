@@ -1,0 +1,128 @@
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from keytide.llm import simhash
+
+from . import cases
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    """Fingerprint -> all fingerprints of its component."""
+    prints, seen = set(prints), {}
+    for start in prints:
+        if start not in seen:
+            group, todo = {start}, [start]
+            while todo:
+                x = todo.pop()
+                near = {y for y in prints - group if (x ^ y).bit_count() <= 4}
+                group |= near
+                todo += near
+            seen |= dict.fromkeys(group, frozenset(group))
+    return seen
+
+
+def test_fingerprints():
+    for _, text, *_ in cases.awkward(1, 30):
+        if len(text or "") < 50_000:
+            assert simhash.fingerprint(text) == slow_fingerprint(text)
+    assert simhash.fingerprint("A b C") == simhash.fingerprint("a\tb\n\nc ") == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_spark_hash_agrees(spark):
+    assert spark.range(1).select(F.xxhash64(F.lit("a b c é"))).first()[0] % (1 << 64) == xxhash.xxh64_intdigest("a b c é".encode(), 42)
+
+
+def test_slices(monkeypatch):
+    text = cases.awkward()[3][1] * 5
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert simhash.fingerprint(text) == whole
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_every_pair_within_the_radius_shares_a_mask(blocks):
+    rng = np.random.default_rng(blocks)
+    masks = [m % (1 << 64) for m in simhash.masks(blocks)]
+    for _ in range(500):
+        flips = sum(1 << int(b) for b in rng.choice(64, size=simhash.RADIUS, replace=False))
+        assert any(flips & m == 0 for m in masks)
+
+
+def clustered(seed, centers, each, far=6):
+    """Fingerprints in chains of near ones, copies, and loners."""
+    rng = np.random.default_rng(seed)
+    out = [0]
+    for _ in range(centers):
+        x = int(rng.integers(0, 2**63))
+        for _ in range(each):
+            out.append(x)
+            x ^= sum(1 << int(b) for b in rng.choice(64, size=int(rng.integers(1, far)), replace=False))
+    return out
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+@pytest.mark.parametrize("file", [4096, 8, 2])
+def test_components_equal_brute_force(spark, monkeypatch, file):
+    """file: also with files that are set aside and dealt into parts."""
+    monkeypatch.setattr(simhash, "FILE", file)
+    prints = clustered(5, 25, 12)
+    want = slow_components(prints)
+    nodes = spark.createDataFrame([(signed(x),) for x in set(prints)], "fp long")
+    got: dict = {}
+    for r in simhash.components(simhash.edges(nodes)).collect():
+        got.setdefault(r.root, set()).add(r.fp % (1 << 64))
+    assert {frozenset(g) for g in got.values()} == {g for g in want.values() if len(g) > 1}
+
+
+def test_one_large_file(spark, monkeypatch):
+    """Thousands of fingerprints that agree in most bits."""
+    rng = np.random.default_rng(1)
+    low = rng.choice(1 << 16, size=3000, replace=False)
+    prints = [int(x) for x in low]
+    monkeypatch.setattr(simhash, "FILE", 256)
+    nodes = spark.createDataFrame([(x,) for x in prints], "fp long")
+    roots = simhash.components(simhash.edges(nodes)).select("root").distinct().count()
+    assert roots == len({g for g in slow_components(prints).values() if len(g) > 1})
+
+
+def test_query_over_awkward_rows(spark, tmp_path):
+    rows = cases.awkward()
+    docs = cases.with_clashes(cases.frame(spark, rows))
+    got = simhash.op4_simhash(spark, cases.save(docs, tmp_path, "documents")).collect()
+    prints = {t: slow_fingerprint(t) if len(t or "") < 250_000 else simhash.fingerprint(t) for _, t, *_ in rows}
+    groups = slow_components(prints.values())
+    least: dict = {}
+    for doc_id, text, *_ in rows:
+        if doc_id is not None:
+            g = groups[prints[text]]
+            least[g] = min(least.get(g, doc_id), doc_id)
+    want = [(doc_id, f"{prints[t]:016x}", least.get(groups[prints[t]])) for doc_id, t, *_ in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert simhash.classes(docs.limit(0)).count() == 0
+
+
+def test_dedup_keeps_one_of_each(spark):
+    rows = cases.awkward()
+    docs = cases.with_clashes(cases.frame(spark, rows))
+    out = simhash.dedup(docs)
+    assert out.columns == docs.columns
+    groups = slow_components(simhash.fingerprint(t) for _, t, *_ in rows)
+    kept = [groups[simhash.fingerprint(r.text)] for r in out.collect()]
+    assert len(kept) == len(set(kept)) == len(set(groups.values()))
+    assert simhash.dedup(docs.limit(0)).count() == 0
