@@ -1,0 +1,111 @@
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from keytide.llm import packing, pii, simhash, toxicity
+
+from . import cases
+from .test_mixing import count, slow_targets
+from .test_simhash import slow_components
+
+SF = "/root/testdata/sf0.001"
+
+
+def staged(spark, docs, sf_dir, folder):
+    """What each stage got and gave, written and read again as run() does."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+        after = spark.read.parquet(f"{folder}/{name}")
+        out[name] = (docs, after)
+        docs = after
+    return out
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    return staged(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF, str(tmp_path_factory.mktemp("stages")))
+
+
+def test_order_and_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == list(stages) == ["toxicity", "near_dedup", "pii", "mixing", "packing"]
+    for name in list(stages)[:-1]:
+        before, after = stages[name]
+        assert after.columns == before.columns and before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_toxic_documents_go_and_others_stay(spark, stages):
+    before, after = stages["toxicity"]
+    said = toxicity.score(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert cases.rows_of(after) == cases.rows_of(before.join(said.where("predicted = 0").select("doc_id"), "doc_id").select(before.columns))
+    assert after.count() > 0.8 * before.count()
+
+
+def test_one_of_each_group_stays(stages):
+    before, after = ([(r.doc_id, r.text) for r in d.collect()] for d in stages["near_dedup"])
+    prints = {i: simhash.fingerprint(t) for i, t in before}
+    groups = slow_components(prints.values())
+    least: dict = {}
+    for i, _ in before:
+        least[groups[prints[i]]] = min(i, least.get(groups[prints[i]], i))
+    assert sorted(after) == sorted((i, t) for i, t in before if i in set(least.values()))
+
+
+def test_personal_data_is_replaced(stages):
+    before, after = ({r.doc_id: r for r in d.collect()} for d in stages["pii"])
+    assert before.keys() == after.keys()
+    for i, r in after.items():
+        assert r.text == pii.redacted(before[i].text) and r.n_chars == len(r.text)
+    assert any(r.text != before[i].text for i, r in after.items())
+
+
+def test_sources_come_near_their_targets(stages):
+    before, after = (d.collect() for d in stages["mixing"])
+    sizes, largest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in before:
+        sizes[r.source] += count(r.text)
+        largest[r.source] = max(largest[r.source], count(r.text))
+    for r in after:
+        taken[r.source] += count(r.text)
+    assert max(Counter(r.doc_id for r in after).values()) <= 3 and set(after) <= set(before)
+    for source, target in slow_targets(sizes).items():
+        assert abs(taken[source] - target) <= largest[source]
+
+
+def test_pieces_hold_every_token(stages):
+    before, after = stages["packing"]
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    lengths = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.dropDuplicates(["doc_id"]).collect()}
+    times = Counter(r.doc_id for r in before.select("doc_id").collect())
+    want = Counter((i, p, p * 2048, min(2048, n - p * 2048)) for i, n in lengths.items() for p in range(-(-n // 2048)) for _ in range(times[i]))
+    rows = after.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in rows) == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for spans in places.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(places) <= 1.05 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    """Also that a rerun agrees."""
+    got = corpus_pipeline.run(spark, SF)
+    assert cases.rows_of(got.select("doc_id", "piece", "start", "length", "ids_crc32")) == cases.rows_of(stages["packing"][1].select("doc_id", "piece", "start", "length", "ids_crc32"))
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    docs = cases.with_clashes(cases.frame(spark))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    folder = cases.save(labels, tmp_path, "labels")
+    out = staged(spark, docs, folder, str(tmp_path / "some"))
+    assert out["packing"][1].count() > 0 and all(out[n][1].columns == docs.columns for n in list(out)[:-1])
+    empty = staged(spark, docs.where(F.lit(False)), folder, str(tmp_path / "none"))
+    assert [a.count() for _, a in empty.values()] == [0] * 5
