@@ -36,6 +36,8 @@ WORDS, SEED, RADIUS, PIVOTS = 4, 42, 4, 24
 FILE = 4096
 #: (fingerprints up to, blocks).
 SCHEMES = ((1 << 25, 6), (1 << 31, 7), (1 << 62, 8))
+#: Links that a task holds before it reduces them to a forest; a file of near copies has the square of its length.
+LINKS = 1 << 19
 #: Shingles hashed at a time.
 SLICE = 1 << 16
 
@@ -73,10 +75,9 @@ def distance_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
-def links(prints: np.ndarray, keys: np.ndarray, across: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all linked pairs within equal keys; rows are sorted by key. across: only pairs of different parts."""
+def links(prints: np.ndarray, keys: np.ndarray, across: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all linked pairs within equal keys, some at a time; rows are sorted by key. across: only pairs of different parts."""
     table = distance_table(prints)
-    found_a, found_b = [], []
     left = np.arange(len(prints) - 1)
     step = 1
     while len(left):
@@ -92,10 +93,8 @@ def links(prints: np.ndarray, keys: np.ndarray, across: np.ndarray | None = None
             if not len(a):
                 break
         ok = np.bitwise_count(prints[a] ^ prints[b]) <= RADIUS
-        found_a.append(a[ok])
-        found_b.append(b[ok])
+        yield a[ok], b[ok]
         step += 1
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, int), np.zeros(0, int))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +116,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[apart], nodes[root[apart]]
 
 
+def reduced(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of all links found, of which at most about LINKS are held at once."""
+    held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for pair in found:
+        held.append(pair)
+        n += len(pair[0])
+        if n > LINKS:
+            held, n = [forest(*map(np.concatenate, zip(*held, strict=True)))], 0
+    return forest(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def prints_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (a hash of the text) and fp (the fingerprint as a signed number) of every row."""
 
@@ -151,7 +161,7 @@ def _forests(files: DataFrame, whole: bool) -> DataFrame:
 
         def edges(key, part, fp) -> pa.RecordBatch:
             prints = fp.view(np.uint64)
-            a, b = links(prints, key, part if whole else None)
+            a, b = reduced(links(prints, key, part if whole else None))
             x, y = forest(fp[a], fp[b])
             return give(x, y, [None] * len(x))
 

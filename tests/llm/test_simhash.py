@@ -90,6 +90,18 @@ def test_components_equal_brute_force(spark, monkeypatch, file):
     assert {frozenset(g) for g in got.values()} == {g for g in want.values() if len(g) > 1}
 
 
+@pytest.mark.parametrize("held", [1 << 19, 50, 0])
+def test_links_reduced_as_they_come(monkeypatch, held):
+    """held: also with reductions at nearly every step."""
+    monkeypatch.setattr(simhash, "LINKS", held)
+    prints = np.array(sorted(set(clustered(3, 20, 15))), dtype=np.uint64)
+    a, b = simhash.reduced(simhash.links(prints, np.zeros(len(prints), np.int64)))
+    root = dict(zip(prints[a].tolist(), prints[b].tolist(), strict=True))
+    for x, group in slow_components(prints.tolist()).items():
+        assert root.get(x, x) == min(group)
+    assert all(len(x) == 0 for x in simhash.reduced(iter(())))
+
+
 def test_one_large_file(spark, monkeypatch):
     """Thousands of fingerprints that agree in most bits."""
     rng = np.random.default_rng(1)
