@@ -2,7 +2,8 @@
 
 The four base kinds (email, ip, card, phone) are exact: leftmost, non-overlapping for each kind, a match that fails its
 check is dropped without a retry. The scored kinds (iban, ssn, secret) are added by score: a pattern's own weight, plus
-what its validator adds, plus what the words before it add; a span stays from MIN_SCORE on.
+what its validator adds, plus what the words before it add; a span stays from MIN_SCORE on. An iban ends where its
+country's length or its check digits say, as capitals and digits may follow it.
 
 All searches are linear in the text. The email's local part is found backwards from each '@' and the ip pattern starts
 only where a run of digits starts, which changes no match but avoids a quadratic search of long runs.
@@ -35,6 +36,16 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Lengths of the countries' account numbers.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 "
+        "ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 "
+        "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])")
 #: Words that raise or lower a score when they stand shortly before a span.
@@ -60,13 +71,12 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
+_VALUES = {c: str(int(chr(c), 36)) for c in range(ord("A"), ord("Z") + 1)}
+
+
 def mod97(account: str) -> bool:
     """Whether an account number's check digits are right: moved to the end and read with A=10..Z=35, it leaves 1 modulo 97."""
-    rest = 0
-    for c in account[4:] + account[:4]:
-        value = int(c, 36)
-        rest = (rest * (10 if value < 10 else 100) + value) % 97
-    return rest == 1
+    return int((account[4:] + account[:4]).translate(_VALUES)) % 97 == 1
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,10 +117,45 @@ def context_score(kind: str, text: str, start: int) -> float:
     return 0.3 * (not near.isdisjoint(more)) - 0.3 * (not near.isdisjoint(less))
 
 
+def _ends(run: str) -> list[int]:
+    """Where an account number at the run's start may end: where its country's does, else where the run or a shorter row of its groups does."""
+    known, size, ends = IBAN_LENGTHS.get(run[:2]), 0, []
+    for group in re.finditer("[^ ]+", run):
+        size += len(group.group())
+        if size == known:
+            return [group.end(), len(run)]
+        if 15 <= size <= 34:
+            ends.append(group.end())
+    return [len(run)] if known else ends[::-1]
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Spans, and whether the check digits confirm them. What follows a confirmed end, or stands inside a run without one, may start another."""
+    at, weak = 0, None
+    while m := _IBAN.search(text, at):
+        start, run = m.start(), m.group()
+        ends = _ends(run)
+        end = next((e for e in ends if 15 <= len(account := run[:e].replace(" ", "")) <= 34 and mod97(account)), None)
+        if weak and (end is not None or start >= weak[1]):
+            a, b = weak
+            if b <= start:
+                yield a, b, False
+            elif cut := _IBAN.fullmatch(text[a:start].rstrip(" ")):
+                yield a, a + cut.end(), False
+            weak = None
+        if end is not None:
+            yield start, start + end, True
+            at = start + end
+        else:
+            weak = weak or (start, start + (ends[0] if ends else len(run)))
+            at = start + 1
+    if weak:
+        yield *weak, False
+
+
 def _scored(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for m in _IBAN.finditer(text):
-        account = m.group().replace(" ", "")
-        yield "iban", *m.span(), 0.3 + 0.5 * (15 <= len(account) <= 34 and mod97(account)) + context_score("iban", text, m.start())
+    for start, end, confirmed in _ibans(text):
+        yield "iban", start, end, 0.3 + 0.5 * confirmed + context_score("iban", text, start)
     for m in _SSN.finditer(text):
         area, group, serial = m.groups()
         valid = area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"

@@ -64,6 +64,18 @@ def test_scored_kinds_need_checksum_or_context():
     assert kinds(f'token = "{secret}"') == ["secret"] and kinds(f"sha1 {secret}") == [] and kinds(secret) == []
 
 
+def test_ibans_end_where_the_check_digits_say():
+    spans = lambda t: [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert spans("DE89370400440532013000 EUR 500") == ["DE89370400440532013000"]
+    assert spans(f"{german} BIC COBADEFF") == spans(f"IBAN {german} BIC COBADEFF") == [german]
+    assert spans(f"{german} {british} REF 7") == [german, british]
+    assert spans(f"REF AB12 3456 7890 1234 {german}")[-1:] == [german]
+    assert spans(f"PO1 {german}, or {british}.") == [german, british]
+    assert spans("IBAN DE88 3704 0044 0532 0130 00 EUR 500") == ["DE88 3704 0044 0532 0130 00"]
+    assert pii.redacted("pay DE89370400440532013000 EUR 500") == "pay <IBAN> EUR 500"
+
+
 def test_redaction():
     assert pii.redacted("mail me@x.org or +1 (212) 555-7890!") == "mail <EMAIL> or <PHONE>!"
     assert pii.redacted(None) is None and pii.redacted("") == "" and pii.redacted("clean") == "clean"
