@@ -8,7 +8,8 @@ The lexicon and its weights are learned from labelled documents. The sample is b
 documents with the smallest hashes of their ids. Word beginnings are counted by documents, the most telling become
 candidates, candidates are matched in the sample, and entries are chosen one by one for the toxic documents that they
 alone explain. The score is a logistic function of the sum of weights of a document's hits and of that sum normalised by
-its length in words, fitted on the same sample.
+its length in words, fitted on the same sample with either label weighted to its share of all labels that may be
+learned from, so that a score means the same however many there are.
 
 Defined cases: a null text is an empty one, and both get the score of a text without hits; a null id is scored and is
 never learned from; repeated rows are scored each for itself; a document with several labels is learned from once with
@@ -176,13 +177,13 @@ def beginnings(folded: str) -> set[str]:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the first column is constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, stands: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; the first column is constant, and a row counts as often as it stands for."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * len(y) * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(len(w))
+        grad = x.T @ ((p - y) * stands) + ridge * len(y) * w
+        hess = (x * (p * (1 - p) * stands)[:, None]).T @ x + ridge * len(y) * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -241,9 +242,14 @@ def signature(folded: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))), default=0)
 
 
+def _known(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id and y of all documents that may be learned from."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (common.id_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     """text and y of the bounded sample, from rows of the folds that may be learned from."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (common.id_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
+    known = _known(labels, label_col)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(FIT_ROWS) for y in (0, 1)]
     # At most 2 * FIT_ROWS ids.
@@ -298,10 +304,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexic
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.float64()), pa.array(b, pa.float64()), batch.column(1)], names=["a", "b", "y"])
 
     rows = np.array([tuple(r) for r in sample.mapInArrow(measure, "a double, b double, y int").collect()])
-    w = _logistic(np.column_stack([np.ones(len(rows)), rows[:, 0], rows[:, 1]]), rows[:, 2])
+    # Of either label the sample has FIT_ROWS at most, so its rows stand for all of their label.
+    most = {r.y: r["count"] for r in _known(labels, label_col).groupBy("y").count().collect()}
+    share = np.array([max(1.0, most[y] / FIT_ROWS) for y in (0, 1)])[rows[:, 2].astype(int)]
+    stands = share * (len(rows) / share.sum())
+    w = _logistic(np.column_stack([np.ones(len(rows)), rows[:, 0], rows[:, 1]]), rows[:, 2], stands)
     if w[1] < 0 or w[2] < 0:  # more hits never make a text less toxic
-        w = np.insert(_logistic(np.column_stack([np.ones(len(rows)), rows[:, 0]]), rows[:, 2]), 2, 0.0)
-    # The sample has its own share of toxic documents; half of the mass lies at a score of 0.5 on either side.
+        w = np.insert(_logistic(np.column_stack([np.ones(len(rows)), rows[:, 0]]), rows[:, 2], stands), 2, 0.0)
     lexicon.model = tuple(map(float, w))
     return lexicon
 

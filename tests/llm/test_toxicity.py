@@ -81,6 +81,19 @@ def test_learned_stems_find_unlabelled_toxic_documents(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.97
 
 
+def test_scores_mean_the_same_when_labels_outgrow_the_sample(spark, monkeypatch):
+    """One document in nine is toxic, and one of four of those says nothing foul."""
+    rows, _ = corpus(1800)
+    labels = [(i, 1, int(i % 8 == 0 or i % 48 == 2)) for i, *_ in rows]
+    rows = [x for x in rows if x[0] % 4 or x[0] % 8 == 0]
+    docs, truth = cases.frame(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 4 or x[0] % 8 == 0], LABELS)
+    texts = ["nothing of the kind", "a grommel " + "and more " * 20]
+    whole = [toxicity.learn(docs, truth).score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 120)
+    bounded = [toxicity.learn(docs, truth).score(t) for t in texts]
+    assert whole[0] < 0.1 and bounded[0] == pytest.approx(whole[0], abs=0.05) and bounded[1] == pytest.approx(whole[1], abs=0.1)
+
+
 def test_held_out_labels_and_other_columns_are_not_inputs(spark):
     rows, labels = corpus(400)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
