@@ -7,8 +7,9 @@ are stretches of labelled documents, half of them joined from two languages, so
 Chains of WINDOW words cover the whole of a document; forward-backward gives each word its share of every language, and
 a document has the language of the largest mean share, which is its score.
 
-The sample is bounded: of each of the MAX_LANGS most frequent languages, the FIT_ROWS documents with the smallest hashes
-of their ids, and of each document STRETCHES stretches of STRETCH words from anywhere in its text.
+The sample is bounded: of every language the FIT_ROWS documents with the smallest hashes of their ids, fewer of each
+where there are more than WIDE languages, and of each document STRETCHES stretches of STRETCH words from anywhere in its
+text. No language is left out.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; a null id is judged and never learned from;
 without labelled documents everything is "und"; repeated rows are judged each for itself; an empty table gives an empty
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 FOLDS, HELD_OUT = 3, 1
-FIT_ROWS, MAX_LANGS = 400, 64
+FIT_ROWS = 400
+#: With more languages than this, rows of each language, texts judged at a time and the like shrink in proportion.
+WIDE = 64
 STRETCHES, STRETCH = 4, 16
 WINDOW = 64
 #: Hashed features, and words of the lexicon.
@@ -54,6 +57,11 @@ def letters(run: str) -> str:
     return run if run.isalpha() else "".join(c for c in run if c.isalpha())
 
 
+def shrunk(bound: int, langs: int) -> int:
+    """A bound on rows, words or characters that holds up to WIDE languages, for so many."""
+    return bound if langs <= WIDE else max(1, bound * WIDE // langs)
+
+
 def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
@@ -175,12 +183,13 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 0) -> Model | None
     for i, chain in enumerate(chains):
         flat = [(vocabulary[w], y) for y, ws in chain for w in ws][:length]
         place[i, : len(flat)], truth[i, : len(flat)], real[i, : len(flat)] = [x for x, _ in flat], [y for _, y in flat], True
-    weights, moves, start = np.zeros((features.size, k)), np.zeros((k, k)), np.zeros(k)
+    weights, moves, start = np.zeros((features.size, k), dtype=np.float64 if k <= WIDE else np.float32), np.zeros((k, k)), np.zeros(k)
+    batch = shrunk(BATCH, k)
     past = [np.full_like(x, 1e-6) for x in (weights, moves, start)]
     for _ in range(EPOCHS):
         order = rng.permutation(len(chains))
-        for lo in range(0, len(order), BATCH):
-            pick = order[lo : lo + BATCH]
+        for lo in range(0, len(order), batch):
+            pick = order[lo : lo + batch]
             r, y = real[pick], truth[pick]
             used, at = np.unique(place[pick], return_inverse=True)
             at = at.reshape(len(pick), length)
@@ -213,6 +222,7 @@ class Judge:
 
     def __init__(self, model: Model):
         self.model, self.known, self.table = model, {}, np.zeros((1024, len(model.langs)), dtype=np.float32)
+        self.cache, self.take = (shrunk(x, len(model.langs)) for x in (CACHE, TAKE))
 
     def _learn(self, runs: set[str]) -> None:
         fresh = list(runs)
@@ -236,14 +246,14 @@ class Judge:
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= TAKE):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= self.take):
                 size += len(texts[hi] or "")
                 hi += 1
             yield from self._shares(texts[lo:hi])
             lo = hi
 
     def _shares(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        if self.count > CACHE:
+        if self.count > self.cache:
             self.known, self.count = {}, 0
         get, found, gaps = self.known.get, [], set()
         for text in texts:
@@ -284,13 +294,14 @@ class Judge:
 def stretches(rows: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> list[tuple[str, list[str]]]:
     """The bounded sample of rows (doc_id, text, lang)."""
     fit = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.id_fold(F.col("doc_id"), folds) != held_out))
-    found = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    found = fit.groupBy("lang").count().collect()
     if not found:
         return []
+    most = shrunk(FIT_ROWS, len(found))
     # A row stays if its hash is among the smallest of its language: half as many again as needed are expected, and the smallest are kept.
-    rate = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, 1.5 * FIT_ROWS / r["count"] + 30 / r["count"]))])
+    rates = rows.sparkSession.createDataFrame([(r.lang, min(1.0, (1.5 * most + 30) / r["count"])) for r in found], "lang string, rate double")
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(2**53))
-    picked = fit.withColumn("u", u).where(F.col("u") < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    picked = fit.withColumn("u", u).join(F.broadcast(rates), "lang").where(F.col("u") < F.col("rate"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +319,7 @@ def stretches(rows: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) ->
     out, documents = [], {}
     for r in sorted(got, key=lambda r: (r.lang, r.u, r.words)):
         seen = documents.setdefault(r.lang, set())
-        if r.u in seen or len(seen) < FIT_ROWS:
+        if r.u in seen or len(seen) < most:
             seen.add(r.u)
             out.append((r.lang, r.words))
     return out

@@ -88,6 +88,18 @@ def test_held_out_languages_and_other_columns_are_not_inputs(spark):
     assert cases.rows_of(langid.identify(cases.frame(spark, rows))) == cases.rows_of(langid.identify(cases.frame(spark, other)))
 
 
+def test_every_language_is_learned(spark):
+    """More languages than the bounds are made for, the rarest with a few documents."""
+    r = random.Random(6)
+    names = [a + b for a, b in itertools.product("abcdefghij", "klmnopqr")]
+    assert len(names) > langid.WIDE
+    rows = [(i, " ".join(r.choice("bdfgmnpst") + 2 * names[k] for _ in range(30)), names[k], "s", 1) for i in range(1200) for k in [i % len(names) if i < 800 else i % 40]]
+    assert {lang for lang, _ in langid.stretches(cases.frame(spark, rows).select("doc_id", "text", "lang"))} == set(names)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(cases.frame(spark, rows)).where("held_out").collect()}
+    right = [got[i] == lang for i, _, lang, *_ in rows if i in got]
+    assert {lang for i, _, lang, *_ in rows if i in got and got[i] == lang} > set(names[40:60]) and sum(right) > 0.95 * len(right)
+
+
 def test_awkward_rows(spark, tmp_path):
     rows = [(i + 1000, *x) for i, *x in corpus(200)] + cases.awkward()
     docs = cases.with_clashes(cases.frame(spark, rows))
