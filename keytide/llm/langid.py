@@ -5,7 +5,8 @@ for words of the training sample's lexicon, the word itself. Their weights and t
 languages are learned together by the chains' likelihood, whose gradient is found by forward-backward. Training chains
 are stretches of labelled documents, half of them joined from two languages, so that switches are learned as well.
 Chains of WINDOW words cover the whole of a document; forward-backward gives each word its share of every language, and
-a document has the language of the largest mean share, which is its score.
+a document has the language of the largest mean share, which is its score. A word's label is the language of its largest
+share, and spans are a document's runs of words of one label.
 
 The sample is bounded: of every language the FIT_ROWS documents with the smallest hashes of their ids, fewer of each
 where there are more than WIDE languages, and of each document STRETCHES stretches of STRETCH words from anywhere in its
@@ -218,7 +219,7 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 0) -> Model | None
 
 
 class Judge:
-    """Mean shares of the languages in texts, by a model; remembers the scores of words."""
+    """Mean shares of the languages in texts, and the words' labels, by a model; remembers the scores of words."""
 
     def __init__(self, model: Model):
         self.model, self.known, self.table = model, {}, np.zeros((1024, len(model.langs)), dtype=np.float32)
@@ -242,17 +243,24 @@ class Judge:
     count = 0
 
     def shares(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """Of each text, or None for one without a letter."""
+        """Mean shares of each text, or None for one without a letter."""
+        return (mean for mean, _ in self.judged(texts))
+
+    def judged(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray | None, list[str]]]:
+        """Of each text the mean shares, or None for one without a letter, and the runs of words of one language.
+
+        A run is "language:first:end", by numbers of the text's words(), of which the end is the first behind the run.
+        """
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= self.take):
                 size += len(texts[hi] or "")
                 hi += 1
-            yield from self._shares(texts[lo:hi])
+            yield from self._judged(texts[lo:hi])
             lo = hi
 
-    def _shares(self, texts: list[str | None]) -> list[np.ndarray | None]:
+    def _judged(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, list[str]]]:
         if self.count > self.cache:
             self.known, self.count = {}, 0
         get, found, gaps = self.known.get, [], set()
@@ -267,9 +275,11 @@ class Judge:
         self._learn(gaps)
         get = self.known.__getitem__
         rows = [np.array([get(r) if x is None else x for r, x in zip(runs, at, strict=True)] if runs is not None else at, dtype=np.int64) for at, runs in found]
-        rows = [x[x >= 0] for x in rows]
+        # A word without a letter has no label of its own; within a run it belongs to it.
+        numbers = [np.flatnonzero(x >= 0) for x in rows]
+        rows = [x[at] for x, at in zip(rows, numbers, strict=True)]
         sizes = np.array([len(x) for x in rows], dtype=np.int64)
-        out: list[np.ndarray | None] = [None] * len(texts)
+        out: list[tuple[np.ndarray | None, list[str]]] = [(None, [])] * len(texts)
         if not sizes.sum():
             return out
         flat = np.concatenate(rows)
@@ -285,9 +295,19 @@ class Judge:
         share = forward_backward(scores.reshape(total, WINDOW, k), real.reshape(total, WINDOW), self.model.moves.astype(np.float32), self.model.start.astype(np.float32))
         share = share.reshape(-1, k)[slot]
         some = np.flatnonzero(sizes)
-        sums = np.add.reduceat(share.astype(np.float64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0)
-        for i, s in zip(some, sums, strict=True):
-            out[i] = s / sizes[i]
+        firsts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        sums = np.add.reduceat(share.astype(np.float64), firsts, axis=0)
+        labels = share.argmax(axis=1)
+        new = np.ones(len(labels), dtype=bool)
+        new[1:] = labels[1:] != labels[:-1]
+        new[firsts] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(labels))
+        at = np.concatenate(numbers)
+        runs = [f"{self.model.langs[y]}:{a}:{b}" for y, a, b in zip(labels[starts].tolist(), at[starts].tolist(), (at[ends - 1] + 1).tolist(), strict=True)]
+        cuts = [*np.searchsorted(starts, firsts).tolist(), len(runs)]
+        for j, (i, s) in enumerate(zip(some, sums, strict=True)):
+            out[i] = (s / sizes[i], runs[cuts[j] : cuts[j + 1]])
         return out
 
 
@@ -333,9 +353,9 @@ _judges: dict[str, Judge] = {}
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score of rows (doc_id, text)."""
+    """doc_id, lang_pred, score, spans of rows (doc_id, text)."""
     if model is None:
-        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("spans"))
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
@@ -346,23 +366,24 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         judge = _judges[tag]
 
         def f(x: dict) -> dict:
-            out: dict = {"doc_id": x["doc_id"], "lang_pred": [], "score": []}
-            for s in judge.shares(x["text"]):
+            out: dict = {"doc_id": x["doc_id"], "lang_pred": [], "score": [], "spans": []}
+            for s, runs in judge.judged(x["text"]):
                 best = None if s is None else int(np.argmax(s))
                 out["lang_pred"].append(UNKNOWN if s is None else judge.model.langs[best])
                 out["score"].append(0.0 if s is None else min(1.0, float(s[best])))
+                out["spans"].append(runs)
             return out
 
         return f
 
-    return common.map_rows(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
+    return common.map_rows(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double, spans array<string>")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, by a model learned from the others' languages."""
+    """doc_id, held_out, lang_pred, score, spans of every document, by a model learned from the others' languages."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = predict(rows.select("doc_id", "text"), train(stretches(rows)))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

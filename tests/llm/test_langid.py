@@ -67,6 +67,18 @@ def test_code_switched_words_are_labelled(model):
         assert abs(mean[model.langs.index(a)] - 0.75) < 0.08 and abs(mean[model.langs.index(b)] - 0.25) < 0.08
 
 
+def test_spans_label_every_word(spark, model):
+    r = random.Random(9)
+    text = sentence(r, "xx", 20) + " 12 , " + sentence(r, "yy", 70) + " ! " + sentence(r, "zz", 20)
+    want = ["xx"] * 20 + [None] * 2 + ["yy"] * 70 + [None] + ["zz"] * 20
+    rows = langid.predict(spark.createDataFrame([(1, text), (2, "12 !"), (3, None), (4, "9 " + sentence(r, "yy", 3))], "doc_id long, text string"), model).collect()
+    spans = {x.doc_id: [(lang, int(a), int(b)) for lang, a, b in (s.rsplit(":", 2) for s in x.spans)] for x in rows}
+    got = [next((lang for lang, a, b in spans[1] if a <= i < b), None) for i in range(len(want))]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= len(want) - 4
+    assert all(x[2] <= y[1] for x, y in itertools.pairwise(spans[1]))
+    assert spans[2] == spans[3] == [] and spans[4] == [("yy", 1, 4)]
+
+
 def test_a_text_is_judged_alike_in_any_company(model, monkeypatch):
     r = random.Random(2)
     texts = [None, "", "12 !", *(sentence(r, lang, n) for lang in ENDS for n in (1, 63, 64, 65, 300))]
