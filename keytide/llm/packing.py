@@ -1,10 +1,11 @@
 """Best-fit packing: documents as token ids into as few sequences of a fixed capacity as possible.
 
-Only the histogram of piece lengths, at most CAPACITY numbers, reaches the driver. Its configuration linear program
-(how often to use each way of filling a sequence) is solved by multiplicative weights: a length's price falls with the
-share of its pieces that has been covered, the best filling at the current prices is found by dynamic programming over
-a bounded knapsack, and it is used a whole number of times, which rounds the solution. What is left after ROUNDS prices
-is packed by best fit in falling length. Best fit on the whole histogram is the other candidate, and the better wins.
+Only the histogram of piece lengths, at most CAPACITY numbers, reaches the driver. Ways of filling
+a sequence are chosen by multiplicative weights: a length's price falls with the share of its pieces that has been
+covered, the best filling at the current prices is found by dynamic programming over a bounded knapsack, and it is used
+a whole number of times. This is greedy; the fractional configuration program is not solved. What is left after ROUNDS
+prices, most pieces where lengths are many, is packed by best fit in falling length. Best fit on the whole histogram is
+the other candidate, and the better wins.
 
 Pieces then find their places without meeting: a piece's rank among those of its length is the number before its group
 (of a length and a salt) plus its row number in the group, and the plan says which sequence and offset a rank has.
