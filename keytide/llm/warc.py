@@ -271,14 +271,16 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, then read the archives' headers back."""
+    """Archive all pages, then read the archives back; a response is described by its payload, a revisit by its headers."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = common.new_shared_path(spark, "warc")
     files = write(with_revisits(pages), path)
     if not files:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read(spark, path, files, payload=False)
-    return found.select("page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", "refers_to")
+    found = read(spark, path, files)
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
+    return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 QUERIES = {"op6_warc": op6_warc}

@@ -106,6 +106,14 @@ def test_query_equals_sql(spark, tmp_path):
     assert cases.rows_of(got) == sorted(want, key=repr)
 
 
+def test_query_describes_the_payloads_and_not_the_headers(spark, tmp_path, monkeypatch):
+    sf, read = cases.save(pages(spark), tmp_path, "pages"), warc.read
+    want = cases.rows_of(warc.op6_warc(spark, sf))
+    untrue = lambda c, x: F.when(F.col("record_type") == "response", F.lit(x)).otherwise(F.col(c))
+    monkeypatch.setattr(warc, "read", lambda *a, **b: read(*a, **b).withColumns({"payload_digest": untrue("payload_digest", "sha1:0"), "payload_bytes": untrue("payload_bytes", 7)}))
+    assert cases.rows_of(warc.op6_warc(spark, sf)) == want
+
+
 def test_empty_table(spark, tmp_path):
     got = warc.op6_warc(spark, cases.save(pages(spark).limit(0), tmp_path, "pages"))
     assert got.count() == 0 and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
