@@ -1,14 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
 The four base kinds (email, ip, card, phone) are exact: leftmost, non-overlapping for each kind, a match that fails its
-check is dropped without a retry. The scored kinds (iban, ssn, secret) are added by score: a pattern's own weight, plus
-what its validator adds, plus what the words before it add; a span stays from MIN_SCORE on. An iban ends where its
-country's length or its check digits say, as capitals and digits may follow it.
+check is dropped without a retry. The scored kinds (iban, ssn, secret) are proposed by patterns, must be confirmed by
+their validators, and are added by score: what the kind and its validation are worth, plus or less what the words on
+either side of the span say; a span stays from MIN_SCORE on, so words alone never make one. An iban ends where its
+country's length says, or for other countries at the longest end of a group at which its check digits are right, as
+capitals and digits may follow it.
 
 All searches are linear in the text. The email's local part is found backwards from each '@' and the ip pattern starts
 only where a run of digits starts, which changes no match but avoids a quadratic search of long runs.
 
-Defined cases: a null text is an empty one and has no spans; a null id stays null; repeated rows are judged each for
+Defined cases: a null text is an empty one and has no spans; a very long text is searched whole; spans of different kinds
+may overlap, those of one kind don't; a null id stays null; repeated rows are judged each for
 itself; an empty table gives an empty result; further columns play no part (redact() carries them along).
 """
 
@@ -27,7 +30,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 SCORED_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + SCORED_KINDS
 MIN_SCORE = 0.6
-#: Code points before a span in which context words count.
+#: Code points on either side of a span in which context words count.
 CONTEXT = 48
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -48,7 +51,8 @@ IBAN_LENGTHS = {
 }
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])")
-#: Words that raise or lower a score when they stand shortly before a span.
+#: Words that raise or lower a score when they stand shortly before or behind a span, and by how much.
+RAISE, LOWER = 0.3, 0.2
 CONTEXT_WORDS = {
     "iban": (("iban", "account", "konto", "compte", "cuenta", "bank", "bic", "swift"), ("serial", "part", "model")),
     "ssn": (("ssn", "social", "security", "taxpayer", "tin"), ("order", "invoice", "serial", "isbn", "model")),
@@ -110,60 +114,65 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
-def context_score(kind: str, text: str, start: int) -> float:
-    """0.3 if a supporting word stands shortly before, less 0.3 if an opposing one does."""
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT) : start])}
+def context_score(kind: str, text: str, start: int, end: int) -> float:
+    """What the words near a span add to its score or take from it."""
+    around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
+    near = {w.lower() for w in _WORD.findall(around)}
     more, less = CONTEXT_WORDS[kind]
-    return 0.3 * (not near.isdisjoint(more)) - 0.3 * (not near.isdisjoint(less))
+    return RAISE * (not near.isdisjoint(more)) - LOWER * (not near.isdisjoint(less))
 
 
-def _ends(run: str) -> list[int]:
-    """Where an account number at the run's start may end: where its country's does, else where the run or a shorter row of its groups does."""
-    known, size, ends = IBAN_LENGTHS.get(run[:2]), 0, []
+def _iban_end(run: str) -> int | None:
+    """Where an account number at the run's start ends, if its check digits are right there."""
+    known, size, found = IBAN_LENGTHS.get(run[:2]), 0, None
     for group in re.finditer("[^ ]+", run):
         size += len(group.group())
-        if size == known:
-            return [group.end(), len(run)]
-        if 15 <= size <= 34:
-            ends.append(group.end())
-    return [len(run)] if known else ends[::-1]
+        if size > (known or 34):
+            break
+        if size == known or not known and size >= 15:
+            if mod97(run[: group.end()].replace(" ", "")):
+                found = group.end()
+    return found
 
 
-def _ibans(text: str) -> Iterator[tuple[int, int, bool]]:
-    """Spans, and whether the check digits confirm them. What follows a confirmed end, or stands inside a run without one, may start another."""
-    at, weak = 0, None
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans whose check digits are right; the search goes on behind them, or behind the start of a run without one."""
+    at = 0
     while m := _IBAN.search(text, at):
-        start, run = m.start(), m.group()
-        ends = _ends(run)
-        end = next((e for e in ends if 15 <= len(account := run[:e].replace(" ", "")) <= 34 and mod97(account)), None)
-        if weak and (end is not None or start >= weak[1]):
-            a, b = weak
-            if b <= start:
-                yield a, b, False
-            elif cut := _IBAN.fullmatch(text[a:start].rstrip(" ")):
-                yield a, a + cut.end(), False
-            weak = None
-        if end is not None:
-            yield start, start + end, True
-            at = start + end
+        end = _iban_end(m.group())
+        if end is None:
+            at = m.start() + 1
         else:
-            weak = weak or (start, start + (ends[0] if ends else len(run)))
-            at = start + 1
-    if weak:
-        yield *weak, False
+            yield m.start(), m.start() + end
+            at = m.start() + end
 
 
-def _scored(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for start, end, confirmed in _ibans(text):
-        yield "iban", start, end, 0.3 + 0.5 * confirmed + context_score("iban", text, start)
+def _ssns(text: str) -> Iterator[tuple[int, int]]:
     for m in _SSN.finditer(text):
         area, group, serial = m.groups()
-        valid = area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
-        yield "ssn", *m.span(), 0.2 + 0.2 * valid + context_score("ssn", text, m.start())
+        if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
+            yield m.span()
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of hexadecimal digits that mix digits and letters, of eight kinds at least."""
     for m in _SECRET.finditer(text):
         found = m.group()
-        mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found) and len(set(found)) >= 8
-        yield "secret", *m.span(), 0.1 + 0.3 * mixed + context_score("secret", text, m.start())
+        if any(c.isdigit() for c in found) and any(c.isalpha() for c in found) and len(set(found)) >= 8:
+            yield m.span()
+
+
+def _worth(kind: str, found: str) -> float:
+    """Score of a confirmed span without its context; an account number of a country without a known length needs some."""
+    if kind == "iban":
+        return 0.8 if found[:2] in IBAN_LENGTHS else 0.5
+    return 0.4
+
+
+def _scored(text: str) -> Iterator[tuple[str, int, int, float]]:
+    for kind, spans in (("iban", _ibans), ("ssn", _ssns), ("secret", _secrets)):
+        for a, b in spans(text):
+            yield kind, a, b, _worth(kind, text[a:b]) + context_score(kind, text, a, b)
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -220,7 +229,6 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     def clean(texts):
         return texts.map(redacted, na_action="ignore")
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
