@@ -42,28 +42,56 @@ def vectors(seed, n, width=8):
     return rows
 
 
-@pytest.mark.parametrize("block, seeds", [(4096, 2048), (64, 16), (32, 3)])
+@pytest.mark.parametrize("block, seeds", [(1 << 18, 1 << 17), (64 * 8, 16 * 8), (32 * 8, 3 * 8)])
 def test_equals_brute_force(spark, monkeypatch, block, seeds):
-    """block, seeds: also with many buckets and with first scores that say little."""
+    """block, seeds: also with many blocks and with first scores that say little."""
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "SEEDS", seeds)
-    monkeypatch.setattr(topk, "CHUNK", 8)
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    monkeypatch.setattr(topk, "FOCUS", 3)
     rows = vectors(block, 600)
     got = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("id") % 20 == 0, k=7)
     assert sorted(map(tuple, got.collect())) == slow(rows, 7, lambda i: i % 20 == 0)
 
 
-def test_pruning_by_coordinates_loses_nothing():
+def test_pruning_by_coordinates_loses_nothing(monkeypatch):
+    monkeypatch.setattr(topk, "FOCUS", 3)
     r = np.random.default_rng(3)
     c = np.floor(1024 * np.vstack([r.normal(size=(300, 6)), 1 + 0.01 * r.normal(size=(50, 6))]))
-    c = c[np.argsort(-np.linalg.norm(c, axis=1))]
+    block = topk.Block(c, np.arange(len(c)))
     q = np.floor(1024 * (1 + 0.01 * r.normal(size=(10, 6))))
     scores = (q @ c.T).astype(int)
-    for share in (0.5, 0.9, 0.99, 1.0):
+    for share in (0.0, 0.1, 0.5, 0.9, 0.99, 1.0):
         least = np.array([share * s.max() for s in scores])
-        got = topk.search_block(q, np.arange(1000, 1010), least, c, np.arange(len(c)), 1000)
-        want = sorted((1000 + i, j, int(s)) for i, row in enumerate(scores) for j, s in enumerate(row) if s >= least[i])
-        assert sorted(zip(*got, strict=True)) == want
+        for steep in (None, -np.inf, np.inf):
+            block.steep = steep
+            got = topk.search_block(q, np.arange(1000, 1010), least, block, 1000)
+            want = sorted((1000 + i, j, int(s)) for i, row in enumerate(scores) for j, s in enumerate(row) if s >= least[i])
+            assert sorted(zip(*got, strict=True)) == want
+
+
+def test_blocks_prune_by_coordinates_where_thresholds_are_high(spark):
+    """Clusters of many lengths: most products are never taken."""
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(40, 64))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    rows = [(i, [float(x) for x in np.float32((centers[i % 40] + 0.03 * r.normal(size=64)) * r.lognormal(0, 0.7))], 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert 0 < topk.verified_share(df, F.col("id") % 100 == 0) < 0.5
+    got = topk.top_k(df, F.col("id") % 1000 == 0, k=5)
+    assert sorted(map(tuple, got.collect())) == slow(rows, 5, lambda i: i % 1000 == 0)
+
+
+def test_floors_are_exact(spark):
+    """Tiny, huge and denormal components against whole numbers."""
+    values = [0.0, -0.0, 5e-324, -5e-324, -1e-20, 1e-20, -0.5 / 1024, 1 / 1024, -1 / 1024, 2.0**43, -(2.0**43) - 0.5, 1e300, -1e300, 1.7e308]
+    scaled = lambda x: math.floor(x * 1024) if math.isfinite(x * 1024) else int(math.copysign(np.finfo(float).max, x))
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate(values)], "id long, v array<double>")
+    got = {r.id: int(r.v[0]) for r in topk._scaled(df, "id", "v", 1024).collect()}
+    assert got == {i: scaled(x) for i, x in enumerate(values)}
+    rows = [(0, [1.0, 1.0]), (1, [1.0, -1e-20]), (2, [1.0, 0.0]), (3, [1.0, 5e-324])]
+    best = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(best, key=lambda r: r["rank"])] == [(2, 1048576), (3, 1048576), (1, 1047552)]
 
 
 def test_query_over_awkward_rows(spark, tmp_path):
