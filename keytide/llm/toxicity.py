@@ -1,17 +1,19 @@
 """Toxicity: a weighted lexicon of word beginnings, matched by Aho-Corasick in folded text.
 
-Folding lower-cases, replaces compatibility forms and look-alike letters of other scripts, reads digits and signs inside
-words as the letters they stand for, and leaves one space between words, so that an entry " stem" matches a word's
-start. An exception phrase, an entry and the word that makes it harmless, takes back the entry's hit inside it.
+Folding replaces compatibility forms, takes accents off, replaces look-alike letters of other scripts (capitals by what
+capitals look like), lower-cases, reads digits and signs inside words as the letters they stand for, and leaves one space
+between words, so that an entry " stem" matches a word's start. An exception phrase, an entry and the word that makes it harmless, takes back the entry's hit inside it.
 
 The lexicon and its weights are learned from labelled documents. The sample is bounded: of either label, the FIT_ROWS
-documents with the smallest hashes of their ids. Word beginnings are counted by documents, the most telling become
-candidates, candidates are matched in the sample, and entries are chosen one by one for the toxic documents that they
-alone explain. The score is a logistic function of the sum of weights of a document's hits and of that sum normalised by
+documents with the smallest hashes of their ids. Whole words, and word beginnings of up to LONGEST letters, are counted by
+documents; all that are telling become candidates, candidates are matched in the sample, and entries are chosen one by
+one for the toxic documents that they alone explain. The score is a logistic function of the sum of weights of a document's hits and of that sum normalised by
 its length in words, fitted on the same sample with either label weighted to its share of all labels that may be
 learned from, so that a score means the same however many there are.
 
-Defined cases: a null text is an empty one, and both get the score of a text without hits; a null id is scored and is
+Defined cases: a null text is an empty one, and both get the score of a text without hits; a very long text is folded and
+matched whole, in linear time; of entries or phrases that say the same the one nearer to a usual length, then the first
+by code point, is taken; a null id is scored and is
 never learned from; repeated rows are scored each for itself; a document with several labels is learned from once with
 the largest; without labels of both kinds every score is 0; an empty table gives an empty result; further columns play
 no part (filter() carries them along).
@@ -38,8 +40,8 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Labelled documents of either kind to learn from.
 FIT_ROWS = 4000
-#: Lengths of word beginnings, candidates, and entries at most.
-SHORTEST, LONGEST, CANDIDATES, ENTRIES = 4, 9, 4000, 1000
+#: Lengths of word beginnings; a whole word may be longer. A clean phrase is an exception from so many documents on.
+SHORTEST, LONGEST, SPARED = 4, 40, 3
 #: An entry explains at least so many toxic documents alone, and is so many times likelier in toxic documents.
 LEAST_NEW, LEAST_RATIO = 3, 8.0
 #: The least new documents as a share of the toxic ones, of which there are more in a larger sample.
@@ -50,10 +52,15 @@ SURE, SURE_SHARE = 25.0, 0.02
 STEM = 5
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
-LOOKALIKES = dict(zip("аеіјорсухѕһԁԛԝвкмнтɡıαεικνορτυχ", "aeijopcyxshdqwbkmhtgiaeiknoptux", strict=True))
+LOOKALIKES = dict(zip("аеіјорсухѕһԁԛԝвкмнтɡıαεικνορτυχ", "aeijopcyxshdqwbkmhtgiaeikvoptux", strict=True))
+CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abesijkmhopctyxabezhikmnoptyx", strict=True))
 DIGITS = dict(zip("034578@$", "oeastbas", strict=True))
 #: Invisible characters, which folding drops.
 _FOLD = str.maketrans(LOOKALIKES) | dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
+_CAPITAL = str.maketrans(CAPITALS)
+_BIG = re.compile("[" + "".join(CAPITALS) + "]")
+#: Accents of decomposed letters; marks of scripts that write vowels as marks stay.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 #: In a word with digits 1, i and l are one letter, as 1 stands for either.
 _ONE = str.maketrans("il", "11")
 _DIGIT = str.maketrans(DIGITS) | _ONE
@@ -61,7 +68,7 @@ _STRANGE = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 #: A run between white space that has a digit or sign that may stand for a letter; linear, as it starts only where a run does.
 _MIXED = re.compile(r"(?<!\S)[^\s034578@$1]*+[034578@$1]\S*")
 _PART = re.compile(r"[\w@$]+")
-_OTHER = re.compile(r"[^\w]+|_+")
+_OTHER = re.compile(r"[\W_]+")
 
 
 def _read_digits(run: re.Match) -> str:
@@ -73,8 +80,9 @@ def fold_letters(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFKD", text)))
+        if _BIG.search(text):
+            text = text.translate(_CAPITAL)
         text = text.lower()
         if _STRANGE.search(text):
             text = text.translate(_FOLD)
@@ -174,6 +182,7 @@ def beginnings(folded: str) -> set[str]:
     for word in set(folded.split()):
         if len(word) >= SHORTEST and not word.isdigit():
             out.update(word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))
+            out.add(word)
     return out
 
 
@@ -223,16 +232,20 @@ def choose(positives: list[list[str]], negatives: list[list[str]]) -> dict[str,
     sure = [w for w in pos if pos[w] * strength[w] >= SURE and pos[w] >= SURE_SHARE * n1 and strength[w] >= math.log(4 * LEAST_RATIO)]
     for w in sorted(sure, key=lambda w: (pos[w] * strength[w], *order(w)), reverse=True):
         s = stem(w, lambda x: pos[x])
-        if len(out) < ENTRIES and not any(s.startswith(o) or o.startswith(s) for o in out):
+        if not any(s.startswith(o) or o.startswith(s) for o in out):
             take(s)
-    live = {w for w in pos if strength[w] >= math.log(LEAST_RATIO)}
-    while left and live and len(out) < ENTRIES:
-        gains = {w: len(where[w] & left) for w in live}
-        live = {w for w in live if gains[w] >= max(LEAST_NEW, LEAST_SHARE * n1)}
-        if live:
-            best = stem(max(live, key=lambda w: (gains[w] * strength[w], *order(w))), lambda x: gains.get(x, 0))
-            take(best)
-            live.discard(best)
+    least = max(LEAST_NEW, LEAST_SHARE * n1)
+    gains = {w: n for w in pos if strength[w] >= math.log(LEAST_RATIO) and (n := len(where[w] & left)) >= least}
+    while gains:
+        best = stem(max(gains, key=lambda w: (gains[w] * strength[w], *order(w))), lambda x: gains.get(x, 0))
+        # Only candidates of the documents that are now explained lose some.
+        told = where[best] & left
+        take(best)
+        gains.pop(best, None)
+        for w, n in Counter(w for i in told for w in positives[i] if w in gains).items():
+            gains[w] -= n
+            if gains[w] < least:
+                del gains[w]
     return out
 
 
@@ -256,7 +269,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     ids = F.broadcast(picked[0].unionByName(picked[1]))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.cut(batches):
             yield batch.append_column("copies", pa.array([signature(fold(t)) for t in batch.column(0).to_pylist()], pa.int64()))
 
     # Copies of one document would make all its words telling, so one of them is learned from.
@@ -266,7 +279,6 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexicon | None:
     """The lexicon, its exceptions and the score's model, from docs (doc_id, text) and labels (doc_id, label); None without labels of both kinds."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     sample = common.materialize(_sample(docs, labels, label_col))
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
@@ -274,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexic
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in common.cut(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[y].update(beginnings(fold(text)))
         words = list(found[0].keys() | found[1].keys())
@@ -284,12 +296,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexic
 
     sums = sample.mapInArrow(count, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    told = sums.where((F.col("pos") >= LEAST_NEW) & (ratio >= math.log(LEAST_RATIO))).select("word", (ratio * F.col("pos")).alias("says"))
-    names = [r.word for r in told.orderBy(F.desc("says"), F.length("word"), "word").limit(CANDIDATES).collect()]
-    wanted = frozenset(names)
+    told = sums.where((F.col("pos") >= LEAST_NEW) & (ratio >= math.log(LEAST_RATIO))).select("word")
+    # As many as the words of the bounded sample that LEAST_NEW toxic documents share.
+    wanted = frozenset(r.word for r in told.collect())
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.cut(batches):
             found = [sorted(beginnings(fold(t)) & wanted) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["found", "y"])
 
@@ -299,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexic
     lexicon.exceptions = _exceptions(sample, lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.cut(batches):
             a, b = zip(*(lexicon.features(t) for t in batch.column(0).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.float64()), pa.array(b, pa.float64()), batch.column(1)], names=["a", "b", "y"])
 
@@ -320,7 +332,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in common.cut(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
                 starts = tuple(lexicon.weights)
@@ -330,7 +342,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
         yield pa.RecordBatch.from_pydict({"phrase": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([found[k] for k in keys], pa.int64())})
 
     sums = sample.mapInArrow(phrases, "phrase string, y int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"))
-    return tuple(r.phrase for r in sums.where("clean >= 3 and bad = 0").orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect())
+    return tuple(sorted(r.phrase for r in sums.where((F.col("clean") >= SPARED) & (F.col("bad") == 0)).collect()))
 
 
 def score_udf(lexicon: Lexicon | None):

@@ -1,3 +1,4 @@
+import math
 import random
 import time
 import zlib
@@ -22,6 +23,8 @@ FOUL = ("grommel", "skavent", "blorfin")
         ("grоmmеl", " grommel "),
         ("ｇｒｏｍ", " grom "),
         ("gro​m­m", " gromm "),
+        ("\u0392LORFIN \u0397ATE \u039cOB", " blorfin hate mob "),
+        ("gr\u00e9mmel \u010cafe\u0301", " gremmel cafe "),
         ("in 2024 or 10,000", " in 2024 or 10 000 "),
     ],
 )
@@ -34,7 +37,7 @@ def test_hits_are_word_beginnings_outside_exceptions():
     hits = lambda t: dict(lexicon.hits(toxicity.fold(t)))
     assert hits("skaventing a SKAV, unskav") == {"skavent": 1, "skav": 1}
     assert hits("blorf fish and blorf") == {"blorf": 1}
-    assert hits("5kav") == {} or hits("5kav") == {"skav": 1}
+    assert hits("5kav") == {"skav": 1}
     assert hits("b1orf") == {"blorf": 1}
 
 
@@ -46,6 +49,44 @@ def test_the_sieve_loses_no_hit():
         assert bool(lexicon.hits(toxicity.fold(t))) <= lexicon.may_hit(toxicity.fold_letters(t))
 
 
+def slow_score(lexicon, text):
+    """Every word against every entry, phrases by looking at the next word."""
+    one = str.maketrans("il", "11")
+    words = toxicity.fold(text).split()
+    weight = 0.0
+    for i, w in enumerate(words):
+        fits = [e for e in lexicon.weights if w.startswith(e) or w.startswith(e.translate(one))]
+        spared = any(words[i : i + 2] == p.split() or (i and words[i - 1 : i + 1] == p.split()) for p in lexicon.exceptions)
+        if fits and not spared:
+            weight += lexicon.weights[max(fits, key=len)]
+    a, b = (math.log1p(weight), math.log1p(100 * weight / max(1, len(words)))) if weight else (0.0, 0.0)
+    return 1 / (1 + math.exp(-(lexicon.model[0] + lexicon.model[1] * a + lexicon.model[2] * b)))
+
+
+def test_scores_equal_a_slow_search():
+    lexicon = toxicity.Lexicon({"skav": 1.5, "skavent": 2.0, "blorf": 0.7, "grommelfritz": 3.0, "lil": 1.1}, ("blorf fish", "skavent b"), (-2.0, 0.8, 0.4))
+    r, hit = random.Random(4), 0
+    for _ in range(3000):
+        parts = ["skav", "5kavent", "Blorf", "bl\u043erf", "fish", "b", "x", "grommelfritz", "gromm\u00e9lfritzing", "l1l", "lil", "unskav", "12", "!", "_", "skavent"]
+        text = "".join(r.choice(parts) + r.choice((" ", " ", "", "-", "_")) for _ in range(r.randint(0, 9)))
+        assert lexicon.score(text) == pytest.approx(slow_score(lexicon, text)), text
+        hit += lexicon.score(text) > lexicon.score("")
+    assert hit > 1000
+
+
+def test_long_entries_are_learned(spark):
+    """Only the twelfth letter tells the foul word from a clean one."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        words = cases.prose(r, r.randint(20, 60)).split()
+        words.insert(3, "grommelfritza" if i % 3 == 0 else "grommelfritzo")
+        rows.append((i, " ".join(words), "xx", "a", 1))
+        labels.append((i, 1, int(i % 3 == 0)))
+    lexicon = toxicity.learn(cases.frame(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, LABELS))
+    assert lexicon.score("a grommelfritza") > 0.5 > lexicon.score("a grommelfritzo")
+
+
 @pytest.mark.parametrize("unit", ["x", "x1", "1", "$_", "о1", "grom "])
 def test_long_texts_take_linear_time(unit):
     lexicon = toxicity.Lexicon({"grom": 1.0}, ("grom fish",))
