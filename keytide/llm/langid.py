@@ -10,16 +10,19 @@ share, and spans are a document's runs of words of one label.
 
 The sample is bounded: of every language the FIT_ROWS documents with the smallest hashes of their ids, fewer of each
 where there are more than WIDE languages, and of each document STRETCHES stretches of STRETCH words from anywhere in its
-text. No language is left out.
+text. No language is left out. A run of more than LONG letters, as in scripts without spaces, counts as several words
+of that length, in learning and in judging alike.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; a null id is judged and never learned from;
-without labelled documents everything is "und"; repeated rows are judged each for itself; an empty table gives an empty
+without labelled documents everything is "und"; a very long text is judged whole, some characters at a time; of
+languages with equal shares the first by code point is given; repeated rows are judged each for itself; an empty table gives an empty
 result; further columns play no part.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from collections import Counter
@@ -37,7 +40,7 @@ FIT_ROWS = 400
 #: With more languages than this, rows of each language, texts judged at a time and the like shrink in proportion.
 WIDE = 64
 STRETCHES, STRETCH = 4, 16
-WINDOW = 64
+WINDOW, LONG = 64, 64
 #: Hashed features, and words of the lexicon.
 FEATURES, LEXICON = 1 << 16, 5000
 EPOCHS, BATCH, RATE, DECAY = 5, 256, 0.5, 1e-6
@@ -47,9 +50,15 @@ UNKNOWN = "und"
 _FIRST, _LAST = "\x02", "\x03"
 
 
+_LONG_RUN = re.compile(rf"\S{{{LONG + 1}}}")
+
+
 def words(text: str | None) -> list[str]:
-    """Runs between white space, in lower case."""
-    return (text or "").lower().split()
+    """Runs between white space, in lower case, those of more than LONG characters in parts."""
+    runs = (text or "").lower().split()
+    if text and _LONG_RUN.search(text):
+        runs = [r[i : i + LONG] for r in runs for i in range(0, len(r), LONG)]
+    return runs
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -63,10 +72,6 @@ def shrunk(bound: int, langs: int) -> int:
     return bound if langs <= WIDE else max(1, bound * WIDE // langs)
 
 
-def has_letter(text: str | None) -> bool:
-    return any(map(str.isalpha, text or ""))
-
-
 class Features:
     """Numbers of the features of words: hashed n-grams and affixes, and the lexicon behind them."""
 
@@ -324,17 +329,16 @@ def stretches(rows: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) ->
     picked = fit.withColumn("u", u).join(F.broadcast(rates), "lang").where(F.col("u") < F.col("rate"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.cut(batches):
             out: tuple[list, list, list] = ([], [], [])
             for doc_id, text, lang, u in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ws = [w for w in map(letters, words(text)) if w]
                 for i in range(min(STRETCHES, -(-len(ws) // STRETCH))):
                     at = zlib.crc32(f"{doc_id}/{i}".encode()) % max(1, len(ws) - STRETCH + 1)
-                    for o, x in zip(out, (lang, u, [w[:64] for w in ws[at : at + STRETCH]]), strict=True):
+                    for o, x in zip(out, (lang, u, ws[at : at + STRETCH]), strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.string()))], names=["lang", "u", "words"])
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS)
     got = picked.select("doc_id", "text", "lang", "u").mapInArrow(cut, "lang string, u double, words array<string>").collect()
     out, documents = [], {}
     for r in sorted(got, key=lambda r: (r.lang, r.u, r.words)):

@@ -79,6 +79,35 @@ def test_spans_label_every_word(spark, model):
     assert spans[2] == spans[3] == [] and spans[4] == [("yy", 1, 4)]
 
 
+def test_long_runs_are_cut_alike():
+    assert langid.words("ab " + "x" * 150 + " c") == ["ab", "x" * 64, "x" * 64, "x" * 22, "c"] and langid.words(None) == []
+    assert langid.words("X" * 64) == ["x" * 64]
+
+
+def test_learning_follows_the_gradient():
+    """A step's gradient of the log-likelihood against differences, for one chain of two languages."""
+    r = np.random.default_rng(2)
+    scores, moves, start = r.normal(size=(1, 4, 2)), r.normal(size=(2, 2)), r.normal(size=2)
+    real, truth = np.ones((1, 4), dtype=bool), np.array([0, 0, 1, 1])
+
+    def likelihood(scores, moves):
+        _, _, log_sum = langid.forward_backward(scores, real, moves, start, pairs=True)
+        return start[truth[0]] + sum(scores[0, t, y] for t, y in enumerate(truth)) + sum(moves[a, b] for a, b in itertools.pairwise(truth)) - log_sum
+
+    share, moved, _ = langid.forward_backward(scores, real, moves, start, pairs=True)
+    for t, y in itertools.product(range(4), range(2)):
+        step = np.zeros_like(scores)
+        step[0, t, y] = 1e-5
+        slope = (likelihood(scores + step, moves) - likelihood(scores - step, moves)) / 2e-5
+        assert np.isclose(slope, (truth[t] == y) - share[0, t, y], atol=1e-6)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (truth[:-1], truth[1:]), 1)
+    for a, b in itertools.product(range(2), range(2)):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        assert np.isclose((likelihood(scores, moves + step) - likelihood(scores, moves - step)) / 2e-5, (seen - moved)[a, b], atol=1e-6)
+
+
 def test_a_text_is_judged_alike_in_any_company(model, monkeypatch):
     r = random.Random(2)
     texts = [None, "", "12 !", *(sentence(r, lang, n) for lang in ENDS for n in (1, 63, 64, 65, 300))]
