@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the word separator of every contract here.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Rows in one Arrow batch handed to Python: bounds a worker's memory by this many texts.
+#: Texts handled at a time in a Python worker. Spark bounds an Arrow batch by rows and bytes; operators cut it further and change no setting of the session.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or, on a local master alone, a new one (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="keytide-")
+        if set_dir.isDefined():
+            where = set_dir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            where = tempfile.mkdtemp(prefix="keytide-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
     return where
 
 
@@ -48,21 +53,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[dict] | dict]], schema: str) -> DataFrame:
     """Arrow batches through a function of a batch's columns.
 
-    ``make()`` runs once in each task and returns ``f(columns) -> columns`` where columns is a dict of lists.
+    ``make()`` runs once in each task and returns ``f(columns) -> columns`` where columns is a dict of lists, of at most
+    BATCH_ROWS rows at a time.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                columns = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], type=x.type) for x in out], schema=out)
+        for batch in cut(batches):
+            columns = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], type=x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def cut(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, without empty ones."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def joined(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to so many rows at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 

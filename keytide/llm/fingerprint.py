@@ -183,7 +183,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_sections", "n_paragraphs", "edit_from")
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         waiting = None  # (part, doc_id, text, tree) of the row whose next is still to come
-        for batch in batches:
+        for batch in common.cut(batches, common.BATCH_ROWS // 4):
             out: list[tuple] = []
             for part, tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if tail and waiting is None:
@@ -197,7 +197,6 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 waiting = None if tail else (part, doc_id, text, tree)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=list(names))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common.BATCH_ROWS // 4)
     return with_next(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, n_paragraphs long, edit_from long")
 
 

@@ -165,7 +165,7 @@ def _forests(files: DataFrame, whole: bool) -> DataFrame:
             x, y = forest(fp[a], fp[b])
             return give(x, y, [None] * len(x))
 
-        for batch in batches:
+        for batch in common.joined(batches, 1 << 15):
             new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
             if aside is not None:
                 same = int(np.searchsorted(new[0] != aside, True)) if (new[0] != aside).any() else len(new[0])
@@ -194,7 +194,6 @@ def _forests(files: DataFrame, whole: bool) -> DataFrame:
         if len(kept[0]):
             yield edges(*kept)
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 15)
     return files.select("key", "part", "fp").mapInArrow(run, "a long, b long, key long")
 
 
