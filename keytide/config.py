@@ -9,19 +9,21 @@ from collections.abc import Mapping
 
 @dataclasses.dataclass(frozen=True)
 class Config:
-    """bucket_commands and flush_ms bound a micro-batch, segment_rows a segment, tier the compaction; scan_limit is the default of scan()."""
+    """flush_commands and flush_ms bound what a log's Batcher holds, segment_rows a segment's files, tier_* the compaction, which a
+    sink runs every compaction_batches micro-batches; snapshot_* say when snapshots are taken and how many stay; bloom_fpp
+    is the filters' false-positive rate, scan_limit the default of scan()."""
 
     node_id: str = "local"
     data_dir: str = "data"
     flush_commands: int = 256
     flush_ms: int = 2
     segment_rows: int = 1_000_000
-    compaction_interval_seconds: int = 30
+    compaction_batches: int = 4
     tier_segments: int = 4
     tier_ratio: int = 10
     snapshot_threshold: int = 10_000
+    snapshot_retain: int = 3
     bloom_fpp: float = 0.01
-    watch_buffer: int = 64
     scan_limit: int = 100
 
 

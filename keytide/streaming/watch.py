@@ -6,7 +6,6 @@ are sorted by version where order matters (foreachBatch); state is unaffected, a
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .. import model
-from ..operators import segments, state
+from .. import config, model
+from ..operators import progress, segments, state
 
 
 def watch(cmds: DataFrame, prefix: str = "") -> DataFrame:
@@ -69,37 +68,40 @@ def changes_stream(cmds: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, value binary, version long, deleted boolean, replaced long", "version long", "append", GroupStateTimeout.NoTimeout)
 
 
-def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 0) -> StreamingQuery:
-    """Write each micro-batch's latest rows as a segment. A repeated batch replaces its own segment, so rows arrive once. With compact_every, every so many batches a chosen tier becomes a segment."""
+def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 0, settings: config.Config = config.Config()) -> StreamingQuery:
+    """Write each micro-batch's latest rows as a segment and note its versions, in one manifest, so that they count once.
+
+    A repeated batch that the manifest already has is skipped: its rows may have been compacted since. With
+    compact_every, every so many batches a chosen tier becomes a segment, which the manifest notes as well. settings: bounds
+    of a segment's files and of a tier.
+    """
 
     def write(batch: DataFrame, i: int) -> None:
-        # Segment numbers of batches are even, of compactions odd, and rise with the batch.
-        segments.write_segment(state.state(batch), path, 2 * i)
-        # A full compaction may drop the newest tombstone, so what has been applied is noted beside the segments.
-        batch.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}.applied/batch={i}")
-        if compact_every and (i + 1) % compact_every == 0:
-            remove(batch.sparkSession, path, segments.compact_tier(batch.sparkSession, path, 2 * i + 1))
+        spark = batch.sparkSession
+        table = segments.manifest(spark, path)
+        if table["batch"] < i:
+            batch = batch.persist()
+            try:
+                # Segment numbers of batches are even, of compactions odd, and rise with the batch.
+                segments.add_segment(state.state(batch), path, table, 2 * i, rows_per_file=settings.segment_rows)
+                segments.note_versions(spark, path, table, batch)
+                table["top"] = max(table["top"], batch.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0])
+            finally:
+                batch.unpersist()
+            table["batch"] = i
+            segments.publish(spark, path, table)
+            table = segments.manifest(spark, path)
+        if compact_every and (i + 1) % compact_every == 0 and table["compacted"] < i:
+            segments.compact_tier(spark, path, 2 * i + 1, settings.tier_segments, settings.tier_ratio, batch=i)
 
     return cmds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def remove(spark: SparkSession, path: str, ids: list[int]) -> None:
-    """Delete segments that a compaction has replaced."""
-    jvm = spark.sparkContext._jvm
-    for i in ids:
-        folder = jvm.org.apache.hadoop.fs.Path(posixpath.join(path, f"segment_id={i}"))
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def applied_version(spark: SparkSession, path: str) -> Callable[[], int]:
-    """The greatest version that a segment sink has applied, for the barriers of consistency.py; 0 before the first."""
+def applied(spark: SparkSession, path: str) -> Callable[[], progress.Progress]:
+    """How far a segment sink has applied its log, for the barriers of consistency.py; zeros before the first batch."""
 
-    def now() -> int:
-        try:
-            return spark.read.schema("version long, batch long").parquet(f"{path}.applied").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        except Exception as e:  # the folder appears with the first segment
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+    def now() -> progress.Progress:
+        table = segments.manifest(spark, path)
+        return progress.Progress(table["mark"], table["top"])
 
     return now

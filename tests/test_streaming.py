@@ -1,8 +1,12 @@
+import os
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from keytide import model
-from keytide.operators import segments, state
+from keytide import config, model
+from keytide.operators import progress, segments, state
 from keytide.operators.consistency import KvReader
 from keytide.streaming import watch
 
@@ -43,13 +47,104 @@ def test_segment_sink_equals_batch(spark, files):
     done(watch.segment_sink(watch.command_stream(spark, f"{home}/log", 1), f"{home}/seg", f"{home}/ck2", compact_every=4))
     merged = segments.merge_segments(segments.read_segments(spark, f"{home}/seg"))
     assert rows(merged.where("not deleted")) == live(log)
-    applied = watch.applied_version(spark, f"{home}/seg")
-    assert applied() == max(n for n, (_, _, _) in [(v[1], v) for v in replay(log).values()])
-    assert watch.applied_version(spark, f"{home}/nowhere")() == 0
+    applied = watch.applied(spark, f"{home}/seg")
+    versions = {n for n, *_ in log}
+    assert applied().top == max(versions) and applied().mark == min(set(range(1, max(versions) + 2)) - versions) - 1
+    assert watch.applied(spark, f"{home}/nowhere")() == progress.Progress(0, 0)
+    gaps = sorted(set(range(1, max(versions))) - versions)
+    segments.declare_gaps(spark, f"{home}/seg", spark.createDataFrame([(n,) for n in gaps], "version long"))
+    assert applied().mark == max(versions)
     reader = KvReader(lambda: spark.read.schema(model.COMMANDS).parquet(f"{home}/log"), applied)
     assert reader.scan("", 0).count() == len(live(log))
 
 
+def written(spark, home, parts):
+    """A log in files that a stream takes in this order, a file a batch."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{home}/parts/{i:03d}")
+    names = []
+    for i in range(len(parts)):
+        for f in Path(f"{home}/parts/{i:03d}").glob("*.parquet"):
+            Path(f"{home}/log").mkdir(exist_ok=True)
+            names.append(f.rename(f"{home}/log/{i:03d}.parquet"))
+            os.utime(names[-1], (1_000_000 + i, 1_000_000 + i))
+    return f"{home}/log"
+
+
+def merged(spark, home):
+    return rows(segments.merge_segments(segments.read_segments(spark, f"{home}/seg")).where("not deleted"))
+
+
+@pytest.mark.parametrize(("compact_every", "seed"), [(1, 31), (2, 32), (3, 33), (4, 34)])
+def test_late_files_and_compactions_equal_replay(spark, tmp_path, compact_every, seed):
+    log = [(i + 1, *x[1:]) for i, x in enumerate(sequence(seed, 60, 3))]
+    shuffled = log[:]
+    random.Random(seed).shuffle(shuffled)
+    source = written(spark, tmp_path, [shuffled[i : i + 6] for i in range(0, 60, 6)])
+    sink = watch.segment_sink(watch.command_stream(spark, source, 1), f"{tmp_path}/seg", f"{tmp_path}/ck", compact_every=compact_every, settings=config.Config(tier_segments=2))
+    done(sink)
+    assert merged(spark, tmp_path) == live(log)
+    assert watch.applied(spark, f"{tmp_path}/seg")() == progress.Progress(60, 60)
+
+
+def test_a_late_put_stays_deleted(spark, tmp_path):
+    """The delete is compacted before an older put of its key arrives; only then its tombstone may go."""
+    delete, puts, late = (9, "delete", "a", None, None), [(i, "put", f"k{i}", b"x", None) for i in (1, 2, 3, 4, 6, 7, 8)], (5, "put", "a", b"old", None)
+    source = written(spark, tmp_path, [[delete], puts, [late]])
+    done(watch.segment_sink(watch.command_stream(spark, source, 1), f"{tmp_path}/seg", f"{tmp_path}/ck", compact_every=1, settings=config.Config(tier_segments=1, tier_ratio=10**6)))
+    assert "a" not in {k for k, _, _ in merged(spark, tmp_path)}
+    assert segments.read_segments(spark, f"{tmp_path}/seg").where("deleted").count() == 0
+
+
+@pytest.mark.parametrize("step", ["add", "publish", "removal", "noted"])
+def test_a_compaction_that_dies_loses_nothing(spark, tmp_path, monkeypatch, step):
+    path, log = f"{tmp_path}/seg", [(i + 1, *x[1:]) for i, x in enumerate(sequence(40, 60, 3))]
+    for i in range(4):
+        segments.write_segment(state.state(spark.createDataFrame(log[15 * i : 15 * i + 15], SCHEMA)), path, 2 * i)
+    table = segments.manifest(spark, path)
+    segments.note_versions(spark, path, table, spark.createDataFrame(log, SCHEMA))
+    segments.publish(spark, path, table)
+
+    class Died(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Died
+
+    with monkeypatch.context() as m:
+        # Before anything is written, after it is written, after it is published, and after the record but before it is noted in full.
+        target = {"add": (segments, "add_segment"), "publish": (segments, "publish"), "removal": (segments.storage, "remove"), "noted": (segments.storage, "put_record")}[step]
+        m.setattr(*target, die)
+        with pytest.raises(Died):
+            segments.compact_tier(spark, path, 7, 2, 10**6, batch=3)
+    assert merged(spark, tmp_path) == live(log)
+    again = segments.compact_tier(spark, path, 7, 2, 10**6, batch=3)
+    assert merged(spark, tmp_path) == live(log) and 7 not in again
+    assert segments.compact_tier(spark, path, 7, 1, 10**6) == [] and merged(spark, tmp_path) == live(log)
+
+
+def test_readers_keep_their_files(spark, tmp_path):
+    path, log = f"{tmp_path}/seg", sequence(41, 40)
+    for i in range(4):
+        segments.write_segment(state.state(spark.createDataFrame(log[10 * i : 10 * i + 10], SCHEMA)), path, i)
+    before = segments.merge_segments(segments.read_segments(spark, path)).where("not deleted")
+    assert segments.compact_tier(spark, path, 9, 2, 10**6)
+    assert rows(before) == live(log) == merged(spark, tmp_path)
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    """The checkpoint forgets the last batch, as if its commit had died, after it was compacted."""
+    delete, late = [(2, "delete", "a", None, None)], [(1, "put", "a", b"old", None)]
+    source = written(spark, tmp_path, [delete, late])
+    sink = lambda: watch.segment_sink(watch.command_stream(spark, source, 1), f"{tmp_path}/seg", f"{tmp_path}/ck", compact_every=2, settings=config.Config(tier_segments=2, tier_ratio=10**6))
+    done(sink())
+    assert merged(spark, tmp_path) == []
+    for f in Path(f"{tmp_path}/ck/commits").glob("*1*"):
+        f.unlink()
+    done(sink())
+    assert merged(spark, tmp_path) == []
+
+
 def test_latest_stream(spark, files):
     log, home = files
     q = watch.latest_stream(watch.command_stream(spark, f"{home}/log", 2)).writeStream.outputMode("complete").format("memory").queryName("latest_q").option("checkpointLocation", f"{home}/ck3").trigger(availableNow=True).start()
