@@ -60,11 +60,25 @@ def memtable_size(cmds: DataFrame) -> DataFrame:
     return first.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.octet_length("key") + F.col("value_bytes") + ENTRY_OVERHEAD), F.lit(0)).cast("long").alias("bytes"))
 
 
-def status(cmds: DataFrame, applied: DataFrame | None = None, node_id: str = "local", peers: tuple[str, ...] = ()) -> DataFrame:
-    """One row: the log's greatest version, the applied one, readiness and counts of keys. A single driver leads itself."""
-    log = cmds.agg(F.coalesce(F.max("version"), F.lit(0)).alias("commit_index"))
-    done = (cmds if applied is None else applied).agg(F.coalesce(F.max("version"), F.lit(0)).alias("applied_index"))
-    keys = state.state(cmds).agg(F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("deleted")).alias("live_keys"))
-    # Three frames of one row each.
-    joined = log.join(done).join(keys)
-    return joined.select(F.lit(node_id).alias("node_id"), F.lit(node_id).alias("leader"), F.lit("Leader").alias("state"), "commit_index", "applied_index", (F.col("applied_index") > 0).alias("ready"), "keys", "live_keys", F.array(*map(F.lit, peers)).cast("array<string>").alias("peers"))
+def throughput(requests: DataFrame, at: str, labels: list[str]) -> DataFrame:
+    """labels, n, seconds, per_second: requests over the time from the first to the last; null where that is no time."""
+    seconds = (F.unix_micros(F.max(F.col(at).cast("timestamp"))) - F.unix_micros(F.min(F.col(at).cast("timestamp")))) / F.lit(1e6)
+    sums = requests.where(F.col(at).isNotNull()).groupBy(*labels).agg(F.count(F.lit(1)).alias("n"), seconds.alias("seconds"))
+    return sums.withColumn("per_second", F.try_divide(F.col("n"), F.col("seconds")))
+
+
+def statuses(valid: DataFrame, rejected: DataFrame) -> DataFrame:
+    """op and status of requests, for op_counts: ok for the commands of a log, the reason for the rejected ones."""
+    return valid.select("op", F.lit("ok").alias("status")).unionByName(rejected.select("op", F.col("reason").alias("status")))
+
+
+def status(cmds: DataFrame, applied: DataFrame | None = None, node_id: str = "local", peers: tuple[str, ...] = (), term: int = 0) -> DataFrame:
+    """One row: the log's greatest version, the applied one, readiness, counts of keys and the running watches. A single driver leads itself; its term is the number of its log's last append."""
+    latest = state.state(cmds).agg(F.coalesce(F.max("version"), F.lit(0)).alias("commit_index"), F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("deleted")).alias("live_keys"))
+    # The latest row of some key has the greatest version, so one pass gives all; another log's is a frame of one row.
+    rows = latest.withColumn("applied_index", F.col("commit_index")) if applied is None else latest.join(F.broadcast(applied.agg(F.coalesce(F.max("version"), F.lit(0)).alias("applied_index"))), F.lit(True))
+    watchers = len(cmds.sparkSession.streams.active)
+    return rows.select(
+        F.lit(node_id).alias("node_id"), F.lit(node_id).alias("leader"), F.lit("Leader").alias("state"), F.lit(term).cast("long").alias("term"), "commit_index", "applied_index", (F.col("applied_index") > 0).alias("ready"),
+        "keys", "live_keys", F.lit(watchers).cast("long").alias("active_watchers"), F.array(*map(F.lit, peers)).cast("array<string>").alias("peers"),
+    )

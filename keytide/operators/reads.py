@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from . import state
 
 
@@ -52,3 +53,17 @@ def scan_range(cmds: DataFrame, start: str = "", end: str = "", limit: int = 0)
 def scan_prefix(cmds: DataFrame, prefix: str = "", limit: int = 0) -> DataFrame:
     """Live rows with keys that start with the prefix; an empty one is all."""
     return _limited(state.live(cmds.where(F.col("key").startswith(prefix)) if prefix else cmds), limit)
+
+
+def scan_entries(cmds: DataFrame, start: str = "", end: str = "", limit: int = 0) -> DataFrame:
+    """State rows with start <= key < end in key order, tombstones included; limits count them too."""
+    if start:
+        cmds = cmds.where(F.col("key") >= start)
+    if end:
+        cmds = cmds.where(F.col("key") < end)
+    return _limited(state.state(cmds), limit)
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Live rows as JSON objects of key, value (base64) and version, in the order of the rows."""
+    return rows.select("key", F.to_json(F.struct("key", scalars.base64(F.col("value")).alias("value"), "version")).alias("json"))

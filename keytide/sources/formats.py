@@ -8,7 +8,13 @@ A table file is a data block of records (key length, key, value length, value, v
 and offsets, and a footer (index offset, index length, count, magic). Records are read up to the index's offset, never
 into it. All numbers are big-endian.
 
-Each file is a partition; a file is read in pieces, not as a whole.
+A log file is a partition; a table file is one for every SPLIT bytes, whose tasks find their records in the index. Files are
+read in pieces, not as a whole. Predicates on a table's key (equality, membership, comparisons, prefix), given as the
+options start and end or pushed down with the option pushdown, are answered from the index: only records between the least
+and the greatest key asked for are read.
+
+Addresses: s3a and s3n are read as s3. A path without a scheme is the machine's own file system; write_files() and load()
+give paths the scheme of Spark's default file system first, so on a cluster they never mean a private disk.
 """
 
 from __future__ import annotations
@@ -18,12 +24,19 @@ import binascii
 import json
 import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
+
+from . import storage
 
 # Fixed values of the table format: the footer's layout and magic number.
 SST_MAGIC = 0x4F434B5653535442
@@ -33,7 +46,15 @@ WAL_SCHEMA = "op STRING, key STRING, value BINARY, version BIGINT, file STRING,
 SST_SCHEMA = "key STRING, value BINARY, version BIGINT, deleted BOOLEAN, file STRING, position BIGINT"
 
 
+#: Bytes of a table file that a task reads.
+SPLIT = 64 << 20
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address, and the path in it."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        path = f"s3://{rest}"
     return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -117,33 +138,58 @@ class BadTable(ValueError):
     pass
 
 
-def read_sst(f, size: int, name: str = "") -> Iterator[tuple]:
-    """The records of a table file; raises BadTable if it isn't one or its records don't end where its index begins."""
+def _footer(f, size: int, name: str) -> tuple[int, int, int]:
+    """Where the data ends, the index's length, and the number of records."""
     if size < SST_FOOTER.size:
         raise BadTable(f"{name}: too short for a table")
     f.seek(size - SST_FOOTER.size)
-    end, _, count, magic = SST_FOOTER.unpack(f.read(SST_FOOTER.size))
+    end, length, count, magic = SST_FOOTER.unpack(f.read(SST_FOOTER.size))
     if magic != SST_MAGIC or end > size - SST_FOOTER.size:
         raise BadTable(f"{name}: not a table")
-    stream = _Stream(f)
+    return end, length, count
+
+
+def read_index(f, size: int, name: str = "") -> tuple[list[bytes], list[int], int]:
+    """Keys and offsets of a table file's records, and where its data ends."""
+    end, length, count = _footer(f, size, name)
+    stream = _Stream(f, end)
+    keys, offsets = [], []
+    for _ in range(count):
+        head = stream.take(4)
+        key = stream.take(struct.unpack(">I", head)[0]) if len(head) == 4 else b""
+        at = stream.take(8)
+        if len(at) < 8 or stream.position > end + length:
+            raise BadTable(f"{name}: the index has fewer than {count} entries")
+        keys.append(key)
+        offsets.append(struct.unpack(">Q", at)[0])
+    return keys, offsets, end
+
+
+def read_sst(f, size: int, name: str = "", start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """The records of a table file from one offset to another; raises BadTable if it isn't one or its records don't end where they should."""
+    end, _, count = _footer(f, size, name)
+    whole, stop = start == 0 and stop is None, end if stop is None else stop
+    stream = _Stream(f, start)
     found = 0
-    while stream.position < end:
+    while stream.position < stop:
         at = stream.position
         key = stream.take(struct.unpack(">I", stream.take(4))[0])
         value = stream.take(struct.unpack(">I", stream.take(4))[0])
         tail = stream.take(9)
-        if len(tail) < 9 or stream.position > end:
-            raise BadTable(f"{name}: the record at {at} crosses the index")
+        if len(tail) < 9 or stream.position > stop:
+            raise BadTable(f"{name}: the record at {at} crosses {stop}")
         version, deleted = struct.unpack(">Q?", tail)
         found += 1
         yield key.decode("utf-8"), None if deleted else value, version, deleted, name, at
-    if found != count:
+    if whole and found != count:
         raise BadTable(f"{name}: {found} records, the footer says {count}")
 
 
 class _File(InputPartition):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    """A file, or one part of several of it."""
+
+    def __init__(self, path: str, size: int, part: int = 0, parts: int = 1):
+        self.path, self.size, self.part, self.parts = path, size, part, parts
 
 
 class _Reader(DataSourceReader):
@@ -175,9 +221,66 @@ class _WalReader(_Reader):
         return read_wal(f, part.path)
 
 
+def after(prefix: str) -> str | None:
+    """The least string behind all that start with the prefix; None if there is none."""
+    last = prefix
+    while last:
+        code = ord(last[-1]) + 1
+        code = 0xE000 if code == 0xD800 else code
+        if code <= 0x10FFFF:
+            return last[:-1] + chr(code)
+        last = last[:-1]
+    return None
+
+
 class _SstReader(_Reader):
+    def __init__(self, options: dict, suffix: str):
+        super().__init__(options, suffix)
+        self.start, self.end = options.get("start", ""), options.get("end") or None
+
+    def partitions(self) -> Sequence[InputPartition]:
+        out: list[InputPartition] = []
+        for x in super().partitions():
+            parts = max(1, -(-x.size // SPLIT))
+            out += [_File(x.path, x.size, i, parts) for i in range(parts)]
+        return out
+
     def records(self, f, part: _File) -> Iterator[tuple]:
-        return read_sst(f, part.size, part.path)
+        if part.parts == 1 and not self.start and self.end is None:
+            return read_sst(f, part.size, part.path)
+        keys, offsets, end = read_index(f, part.size, part.path)
+        lo = bisect_left(keys, self.start.encode())
+        hi = len(keys) if self.end is None else bisect_left(keys, self.end.encode())
+        # Of the part's share of the data, the records that begin in it.
+        lo, hi = (max(lo, bisect_left(offsets, end * part.part // part.parts)), min(hi, bisect_left(offsets, end * (part.part + 1) // part.parts)))
+        if lo >= hi:
+            return iter(())
+        return read_sst(f, part.size, part.path, offsets[lo], offsets[hi] if hi < len(offsets) else end)
+
+
+class _PushedSstReader(_SstReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrows the range of keys by what it can, and leaves all filters to be applied exactly as well."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("key",):
+                low = high = None
+                if isinstance(f, EqualTo):
+                    low, high = f.value, f.value + "\0"
+                elif isinstance(f, In):
+                    low, high = min(f.value), max(f.value) + "\0"
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low = f.value
+                elif isinstance(f, LessThan):
+                    high = f.value
+                elif isinstance(f, LessThanOrEqual):
+                    high = f.value + "\0"
+                elif isinstance(f, StringStartsWith):
+                    low, high = f.value, after(f.value)
+                if low is not None:
+                    self.start = max(self.start, low, key=str.encode)
+                if high is not None:
+                    self.end = high if self.end is None else min(self.end, high, key=str.encode)
+            yield f
 
 
 class WalDataSource(DataSource):
@@ -195,7 +298,7 @@ class WalDataSource(DataSource):
 
 
 class SstDataSource(DataSource):
-    """spark.read.format("kv_sst").load(file or folder of *.sst)"""
+    """spark.read.format("kv_sst").load(file or folder of *.sst); options: start and end (keys), pushdown (true: takes filters on the key, which needs spark.sql.python.filterPushdown.enabled)."""
 
     @classmethod
     def name(cls) -> str:
@@ -205,7 +308,8 @@ class SstDataSource(DataSource):
         return SST_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _SstReader(dict(self.options), ".sst")
+        options = dict(self.options)
+        return (_PushedSstReader if options.get("pushdown", "").lower() == "true" else _SstReader)(options, ".sst")
 
 
 def register(spark: SparkSession) -> None:
@@ -213,8 +317,53 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SstDataSource)
 
 
-def recover(spark: SparkSession, path: str):
-    """Commands of the readable part of a log's files."""
+def load(spark: SparkSession, kind: str, path: str, start: str = "", end: str = "") -> DataFrame:
+    """The records of a file or folder; of tables those with start <= key < end, an empty end being none."""
     register(spark)
-    rows = spark.read.format("kv_wal").load(path)
+    return spark.read.format(kind).option("start", start).option("end", end).load(storage.qualified(spark, path))
+
+
+def _write_files(rows: DataFrame, path: str, suffix: str, encode: Callable[[list[dict]], bytes]) -> list[str]:
+    """A file for every partition that has rows; a task that is run again replaces what an earlier attempt left."""
+    spark = rows.sparkSession
+    target, names = storage.qualified(spark, path), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [dict(zip(names, values, strict=True)) for batch in batches for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        written = []
+        if held:
+            fs, root = _open(target)
+            fs.create_dir(root, recursive=True)
+            name = f"part-{TaskContext.get().partitionId():06d}{suffix}"
+            with fs.open_output_stream(hidden := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
+                out.write(encode(held))
+            fs.move(hidden, f"{root}/{name}")
+            written.append(name)
+        yield pa.RecordBatch.from_pydict({"file": pa.array(written, pa.string())})
+
+    return sorted(r.file for r in rows.mapInArrow(run, "file string").collect())
+
+
+def write_sst(rows: DataFrame, path: str, partitions: int | None = None) -> list[str]:
+    """Write state rows as table files of rising keys below path; returns their names. A file is held in memory, so partitions bounds it."""
+    chosen = rows.select("key", "value", "version", "deleted")
+    dealt = chosen.repartitionByRange(partitions, "key") if partitions else chosen.repartitionByRange("key")
+    return _write_files(dealt.sortWithinPartitions("key"), path, ".sst", encode_sst)
+
+
+def write_wal(cmds: DataFrame, path: str, partitions: int | None = None) -> list[str]:
+    """Write commands as log files, in the order of versions over the files' names; returns the names."""
+    chosen = cmds.select("version", "op", "key", "value")
+    dealt = chosen.repartitionByRange(partitions, "version") if partitions else chosen.repartitionByRange("version")
+    return _write_files(dealt.sortWithinPartitions("version"), path, ".log", encode_wal)
+
+
+def recover(spark: SparkSession, path: str) -> DataFrame:
+    """Commands of the readable part of a log's files. What a damaged file lacks shows in damage()."""
+    rows = load(spark, "kv_wal", path)
     return rows.where("error IS NULL").selectExpr("version", "op", "key", "value", "CAST(NULL AS BIGINT) AS ttl_seconds")
+
+
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """file, position, error of log files that end in a damaged frame."""
+    return load(spark, "kv_wal", path).where(F.col("error").isNotNull()).select("file", "position", "error")

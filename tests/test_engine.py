@@ -1,14 +1,18 @@
+import base64
 import itertools
+import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from keytide import config, model
-from keytide.operators import metrics, reads, segments, state
+from keytide.operators import metrics, progress, reads, segments, state
 from keytide.operators.consistency import BarrierTimeout, KvReader, wait_applied
 from keytide.plans import sqlviews
 from keytide.sources import commands as source
+from keytide.sources import log as stored
 
 from .model_log import SCHEMA, live, replay, rows, sequence
 
@@ -133,7 +137,7 @@ def test_segments_on_disk(spark, tmp_path):
     log, path = sequence(10), str(tmp_path / "s")
     for i, lo in enumerate(range(0, 200, 50)):
         segments.write_segment(state.state(frame(spark, log[lo : lo + 50])), path, i, partitions=2, expected_keys=50)
-    segments.write_segment(state.state(frame(spark, log[:50])), path, 0)  # again, as a repeated batch would
+    segments.write_segment(state.state(frame(spark, log[:50])), path, 0, partitions=2, expected_keys=50)  # again, as a repeated batch would
     assert rows(segments.merge_segments(segments.read_segments(spark, path)).where("not deleted")) == live(log)
     stats = segments.segment_stats(segments.read_segments(spark, path)).collect()
     assert [r.segment_id for r in stats] == [3, 2, 1, 0]
@@ -170,7 +174,8 @@ def test_views(spark):
 def test_barriers(spark):
     log = sequence(13)
     cmds = frame(spark, log)
-    reader = KvReader(lambda: cmds)
+    gaps = sorted(set(range(1, log[-1][0])) - {n for n, *_ in log})
+    reader = KvReader(lambda: cmds, gaps=spark.createDataFrame([(n,) for n in gaps], "version long"))
     key = live(log)[0][0]
     top = log[-1][0]
     for kwargs in ({}, {"mode": "strong"}, {"mode": "read-your-writes", "session_index": top}, {"mode": "monotonic", "min_version": 0}):
@@ -193,6 +198,78 @@ def test_barriers(spark):
     assert reader.scan("user:", 1).count() <= 1
 
 
+def test_a_greater_version_does_not_stand_for_a_lesser(spark):
+    """A log that holds version 10 alone hasn't applied version 3."""
+    cmds = spark.createDataFrame([(10, "put", "a", b"x", None)], SCHEMA)
+    with pytest.raises(BarrierTimeout):
+        KvReader(lambda: cmds).get("a", "read-your-writes", session_index=3, timeout=0.1)
+    assert KvReader(lambda: cmds).get("a").first().found
+    gaps = spark.range(1, 10).select(F.col("id").alias("version"))
+    assert KvReader(lambda: cmds, gaps=gaps).get("a", "read-your-writes", session_index=10, timeout=0.1).first().found
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_marks_equal_a_count(spark, seed):
+    r = random.Random(seed)
+    versions = [v for v in range(1, r.choice((3, 64, 65, 200))) if r.random() < r.choice((0.97, 0.999, 1))]
+    cmds = spark.createDataFrame([(v,) for v in versions + versions[:3]], "version long")
+    want = 0
+    while want + 1 in versions:
+        want += 1
+    noted = progress.blocks(cmds)
+    assert progress.mark_of(noted) == want
+    for earlier in {0, want // 2, want, max(0, want - 1)}:
+        assert progress.mark_of(progress.united(noted, earlier), earlier) == want
+    assert progress.mark_of(noted.limit(0), 130) == 130 and progress.mark_of(noted.limit(0)) == 0
+
+
+def test_log_appends(spark, tmp_path):
+    log = stored.Log(spark, str(tmp_path / "log"), partitions=2)
+    assert log.last_version() == 0 and log.read().count() == 0
+    rows_ = [(3, "put", "b", b"2", None), (1, "put", "a", b"1", 60), (2, "delete", "a", None, None), (4, "put", "", b"x", None), (5, "merge", "c", b"x", None)]
+    df = spark.createDataFrame(rows_, "n long, op string, k string, v binary, ttl long").repartition(3)
+    first = log.append(df, "k", "v", F.col("op"), F.col("ttl"), "n")
+    assert (first.first, first.last) == (1, 3) and {r.reason for r in first.rejected.collect()} == {"empty key", "unknown operation"}
+    assert [tuple(r) for r in log.read().orderBy("version").collect()] == [(1, "put", "a", b"1", 60), (2, "delete", "a", None, None), (3, "put", "b", b"2", None)]
+    assert log.append(df.where("n > 3"), "k", "v", F.col("op"), order="n").last == 3
+    second = log.append_versioned(spark.createDataFrame([(9, "put", "z", b"", None), (2, "put", "old", b"", None)], SCHEMA))
+    assert (second.first, second.last) == (9, 9) and [r.reason for r in second.rejected.collect()] == ["old version"]
+    (tmp_path / "log" / "append=000000000002").mkdir()  # left by an append that died before it was committed
+    assert log.append(df.where("n = 1"), "k", "v", F.col("op"), order="n").first == 10
+    assert sorted(r.version for r in log.read().collect()) == [1, 2, 3, 9, 10]
+    plan = reads.get(log.read(), "a")._jdf.queryExecution().toString()
+    assert "EqualTo(key,a)" in plan
+
+
+def test_batcher(spark, tmp_path):
+    now = iter([0.0, 0.001, 0.0015, 10.0, 10.1])
+    log = stored.Log(spark, str(tmp_path / "log"), partitions=1)
+    batcher = stored.Batcher(log, config.Config(flush_commands=3, flush_ms=50), clock=lambda: next(now))
+    assert batcher.put("a", b"1") is None and batcher.delete("a") is None
+    done = batcher.put("b", b"2")
+    assert (done.first, done.last) == (1, 3) and batcher.flush() is None
+    assert batcher.put("c", b"") is None and batcher.put("d", b"", 5).last == 5  # the first of them has waited too long
+    for wrong in (lambda: batcher.put("", b"x"), lambda: batcher.submit("merge", "k", b"")):
+        with pytest.raises(ValueError):
+            wrong()
+    assert [(r.version, r.op, r.key) for r in log.read().orderBy("version").collect()] == [(1, "put", "a"), (2, "delete", "a"), (3, "put", "b"), (4, "put", "c"), (5, "put", "d")]
+
+
+def test_snapshots_are_kept(spark, tmp_path):
+    cmds, path = frame(spark, [(i + 1, *x[1:]) for i, x in enumerate(sequence(15, 100))]), str(tmp_path / "s")
+    taken = [segments.keep_snapshots(state.as_of(cmds, v), path, 20, 3) for v in (10, 25, 30, 45, 70, 100)]
+    assert taken == [None, 25, None, 45, 70, 100] and segments.snapshots(spark, path) == [45, 70, 100]
+
+
+def test_entries_and_json(spark):
+    log = sequence(16)
+    got = [(r.key, r.version, r.deleted) for r in reads.scan_entries(frame(spark, log), "a", "user", 5).collect()]
+    want = sorted(((k, v, d) for k, (_, v, d) in replay(log).items() if "a" <= k < "user"), key=lambda x: x[0].encode())
+    assert got == want[:5] and any(d for _, _, d in want)
+    shown = [json.loads(r.json) for r in reads.as_json(reads.scan_prefix(frame(spark, log))).collect()]
+    assert sorted((x["key"], base64.b64decode(x["value"]), x["version"]) for x in shown) == live(log)
+
+
 def test_metrics(spark):
     values = [0.1, 0.2, 0.2, 3.0, 100.0, None, 0.05] * 3
     df = spark.createDataFrame([(v, "x" if i % 2 else "y") for i, v in enumerate(values)], "v double, label string")
