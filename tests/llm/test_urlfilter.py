@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from keytide.llm import urlfilter
 
@@ -27,38 +29,52 @@ def plain(url):
     return (host, path, *max(fit)[1:]) if fit else (host, path, None, None)
 
 
-def slow_probability(grams, context, c):
-    """Interpolation by the share of new characters, over counts of whole grams; written as a recursion."""
-    if context is None:
-        return 1 / (urlfilter.ALPHABET - 1)
-    ends = Counter(g[-1] for g in grams for _ in range(grams[g]) if not context or g[:-1][-len(context) :] == context)
-    lower = slow_probability(grams, context[1:] if context else None, c)
+def slow_probability(urls, context, c):
+    """Interpolation by the share of new bytes, over the urls themselves; written as a recursion."""
+    lower = slow_probability(urls, context[1:], c) if context else 1 / 256
+    ends = Counter()
+    for u in urls:
+        marked = [None] * (urlfilter.ORDER + 1) + list(u.encode("utf-8", "replace"))
+        for i in range(urlfilter.ORDER + 1, len(marked)):
+            if not context or tuple(marked[i - len(context) : i]) == context:
+                ends[marked[i]] += 1
     total, kinds = sum(ends.values()), len(ends)
     return (ends[c] + kinds * lower) / (total + kinds) if total else lower
 
 
-def test_probabilities_equal_the_recursion():
-    table, urls = urlfilter.symbols(), ["http://ab.com/a1", "http://ab.com/b?x=2", "é"]
-    code, sizes = urlfilter.grams(urls, table)
-    assert sizes.tolist() == [len(u.encode()) for u in urls]
-    seen = Counter()
-    for u in urls:
-        s = [0] * urlfilter.ORDER + table[np.frombuffer(u.encode(), np.uint8)].tolist()
-        seen.update(tuple(s[i - urlfilter.ORDER : i + 1]) for i in range(urlfilter.ORDER, len(s)))
-    p = urlfilter.probabilities(np.bincount(code, minlength=urlfilter.ALPHABET ** (urlfilter.ORDER + 1)))
-    shaped = p.reshape([urlfilter.ALPHABET] * (urlfilter.ORDER + 1))
-    unseen = (5, 6, 7, 8)
-    for g in [*list(seen)[:12], unseen]:
-        assert math.isclose(shaped[g], slow_probability(seen, g[:-1], g[-1]), rel_tol=1e-9)
+def slow_score(good, bad, url):
+    marked = [None] * (urlfilter.ORDER + 1) + list((url or "").encode("utf-8", "replace"))
+    at = range(urlfilter.ORDER + 1, len(marked))
+    logs = [math.log(slow_probability(bad, context, marked[i])) - math.log(slow_probability(good, context, marked[i])) for i in at for context in [tuple(marked[i - urlfilter.ORDER : i])]]
+    return sum(logs) / max(1, len(logs))
+
+
+GOOD, BAD = ["http://ab.org/fr/a1", "http://ab.org/fr/b?x=2", "é"], ["http://pills.net/77", "http://é.net/", ""]
+
 
+@pytest.mark.parametrize("most", [urlfilter.MAX_BROADCAST, 0])
+def test_scores_equal_the_recursion(spark, monkeypatch, most):
+    """By broadcast arrays and by a join."""
+    monkeypatch.setattr(urlfilter, "MAX_BROADCAST", most)
+    examples = spark.createDataFrame([(u, 0) for u in GOOD] + [(u, 1) for u in BAD], "url string, bad int").repartition(3)
+    tables = urlfilter.count(examples)
+    asked = ["http://ab.org/fr/a1", "http://pills.org/", "zz", "", None, "http://ü.net/7", "http://ab.org/fr/a1"]
+    got = urlfilter.scored(spark.createDataFrame([(i, u) for i, u in enumerate(asked)], "i int, url string"), tables).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.score == pytest.approx(slow_score(GOOD, BAD, r.url) if r.url else 0.0, abs=1e-9)
 
-def test_scores_are_means_over_characters():
-    table, r = urlfilter.symbols(), np.random.default_rng(0)
-    model = r.normal(size=urlfilter.ALPHABET ** (urlfilter.ORDER + 1)).astype(np.float32)
-    urls = ["http://a.org/x", None, "", "zz", "http://ü/"]
-    for url, s in zip(urls, urlfilter.scores(urls, table, model), strict=True):
-        code, _ = urlfilter.grams([url], table)
-        assert math.isclose(s, float(model[code].astype(float).mean()) if len(code) else 0.0, abs_tol=1e-9)
+
+def test_the_tables_grow_with_the_examples(spark):
+    rows = [(f"http://h{i}.org/{chr(97 + i % 26)}{i * 7919}", i % 2) for i in range(800)]
+    few, many = (urlfilter.count(spark.createDataFrame(rows[:n], "url string, bad int")).entries for n in (100, 800))
+    assert many > 4 * few
+
+
+def test_urls_that_differ_in_digits_or_signs_differ(spark):
+    tables = urlfilter.count(spark.createDataFrame([("http://a.org/11", 0), ("http://a.net/99", 1)], "url string, bad int"))
+    got = {r.url: r.score for r in urlfilter.scored(spark.createDataFrame([("http://a.org/11",), ("http://a.org/99",), ("http://a.org/@@",)], "url string"), tables).collect()}
+    assert len(set(got.values())) == 3
 
 
 def test_unruled_urls_follow_the_examples(spark):
@@ -87,11 +103,10 @@ def test_query_over_awkward_rows(spark, tmp_path):
 
 
 def test_held_out_accuracy(spark):
-    """On the ruled pages that the counting left out, the ratio alone agrees with the rules better than chance."""
-    from pyspark.sql import functions as F
-
+    """On ruled pages of hosts that the counting left out, the ratio alone agrees with the rules better than chance."""
     rows = urlfilter.ruled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
-    model, threshold = urlfilter.learn(rows)
-    held = urlfilter.scored(rows.where(F.col("ruling").isNotNull() & (F.crc32(F.col("url").cast("binary")) % urlfilter.FOLDS == 0)), model).collect()
+    tables, threshold = urlfilter.learn(rows)
+    held = urlfilter.scored(rows.where(F.col("ruling").isNotNull() & urlfilter.held_out()), tables).collect()
     shares = [np.mean([(r.score > threshold) == (y == "block") for r in held if r.ruling == y]) for y in ("allow", "block")]
+    print("held-out hosts:", len({r.host for r in held}), "urls", len(held), "right (allow, block)", shares)
     assert len(held) > 50 and np.mean(shares) > 0.75
