@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
+
 #: ASCII white space, the word separator of every contract here.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Texts handled at a time in a Python worker. Spark bounds an Arrow batch by rows and bytes; operators cut it further and change no setting of the session.
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path of its own under the shared folder, with the scheme of its file system."""
+    return storage.qualified(spark, posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -88,12 +90,6 @@ def joined(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 

@@ -4,12 +4,16 @@ Files are WARC/1.1, one gzip member a record. Each member's gzip header has an e
 compressed length, so that a reader which has seen a record's headers can go on to the next record without inflating the
 payload. Archives without that field are read as well, by inflating to the end of each member.
 
-The source plans its partitions from file sizes (small files together, a file is never split because only the writer
-knows where members start), takes equality, membership and comparison predicates on the record type and the other
+A writer's files count once Spark has committed the list of them, so tasks that ran twice or died leave nothing that is
+read; a folder without such a list is read whole. The source plans its partitions from file sizes (small files together, a
+file is never split because only the writer knows where members start), takes equality, membership and comparison predicates on the record type and the other
 headers out of Spark's hands, parses a record's headers first, and inflates a payload only if the record passes and
 payloads are wanted (option payload=true).
 
-Defined cases: a null payload is an empty one; a null id is written without the header and is read as null, and such a
+Addresses with s3a or s3n are read as s3; read() and write() give a path without a scheme that of Spark's file system.
+
+Defined cases: a null payload is an empty one; a very long one is a record like any other, which its task holds in
+memory; a column payload_digest or refers_to of the table is replaced by the writer's; a null id is written without the header and is read as null, and such a
 record never has others refer to it while a record with an id has the same payload; records that repeat the largest id
 are all responses; control characters and spaces in a target address are percent-encoded; an empty table gives no files
 and no rows; further columns play no part.
@@ -27,17 +31,21 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..sources import storage
 from . import common
 
 #: Payloads shorter than this are always written in full.
 REVISIT_BYTES = 1000
-#: A writer starts another file beyond this many bytes, a reader packs files up to it into a partition.
-FILE_BYTES = 64 << 20
+#: A writer starts another file beyond so many bytes, a reader packs small files into a partition up to so many, and reads so many at a time.
+FILE_BYTES, PART_BYTES, READ_BYTES = 64 << 20, 8 << 20, 1 << 18
+#: The list of a writer's files.
+LISTED = "_files"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -46,6 +54,9 @@ _SCHEMA = "record_type string, page_id long, target_uri string, payload_digest s
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or address, and the path in it."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        path = f"s3://{rest}"
     return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -79,47 +90,59 @@ def member(data: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", refers_col: str = "refers_to", digest_col: str = "payload_digest") -> list[str]:
-    """Write a record a row below path, and return the names of the files.
-
-    A file is written under another name and moved when it is whole, so a task that is run again replaces what an
-    earlier attempt left, and only files named in the result belong to the archive.
-    """
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", refers_col: str = "refers_to", digest_col: str = "payload_digest") -> None:
+    """Write a record a row below path. A file has a name of its own attempt, is moved when it is whole, and counts when the list of files is committed."""
+    target = storage.qualified(pages.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(path)
+        fs, root = filesystem(target)
         fs.create_dir(root, recursive=True)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        out, names, size = None, [], 0
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        out, names, sizes = None, [], []
 
         def close() -> None:
             if out is not None:
                 out.close()
-                fs.move(f"{root}/.{names[-1]}.{attempt}", f"{root}/{names[-1]}")
+                fs.move(f"{root}/.{names[-1]}", f"{root}/{names[-1]}")
 
         for batch in common.cut(batches):
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if out is None or size >= FILE_BYTES:
+                if out is None or sizes[-1] >= FILE_BYTES:
                     close()
-                    names.append(f"part-{part:06d}-{len(names):04d}.warc.gz")
-                    out, size = fs.open_output_stream(f"{root}/.{names[-1]}.{attempt}"), 0
+                    names.append(f"part-{part:06d}-{len(names):04d}-{attempt}.warc.gz")
+                    sizes.append(0)
+                    out = fs.open_output_stream(f"{root}/.{names[-1]}", compression=None)
                 data = member(record(page_id, url, payload, digest, refers_to))
                 out.write(data)
-                size += len(data)
+                sizes[-1] += len(data)
         close()
-        yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string())})
+        yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "bytes": pa.array(sizes, pa.int64())})
 
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")), F.col(digest_col), F.col(refers_col).cast("long"))
-    return sorted(r.file for r in rows.toDF("a", "b", "c", "d", "e").mapInArrow(run, "file string").collect())
+    rows.toDF("a", "b", "c", "d", "e").mapInArrow(run, "file string, bytes long").write.parquet(f"{target}/{LISTED}")
+
+
+class _Chunks:
+    """Reads of a file at any place, a chunk at a time; what the last chunk holds isn't read again."""
+
+    def __init__(self, stream):
+        self._stream, self._at, self._data = stream, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        """Up to size bytes from at: fewer only at the end of the file."""
+        skip = at - self._at
+        if not (0 <= skip and skip + size <= len(self._data)):
+            self._stream.seek(at)
+            self._at, self._data, skip = at, self._stream.read(max(size, READ_BYTES)), 0
+        return self._data[skip : skip + size]
 
 
 class _Member:
     """A record in an open file: inflates no more than it is asked for."""
 
-    def __init__(self, stream, at: int):
-        self._stream, self._at, self._next = stream, at, None
-        stream.seek(at)
-        data = stream.read(1 << 14)
+    def __init__(self, chunks: _Chunks, at: int):
+        self._chunks, self._at, self._next = chunks, at, None
+        data = chunks.read(at, 1 << 12)
         self.empty = not data
         self._read = len(data)
         if data[:2] == b"\x1f\x8b" and len(data) >= 24 and data[3] & 4 and data[12:14] == b"sl":
@@ -133,8 +156,7 @@ class _Member:
             return False
         data = self._inflate.unconsumed_tail
         if not data:
-            self._stream.seek(self._at + self._read)
-            data = self._stream.read(1 << 16)
+            data = self._chunks.read(self._at + self._read, 1 << 16)
             self._read += len(data)
             if not data:
                 raise ValueError(f"the gzip member at {self._at} has no end")
@@ -182,7 +204,6 @@ def _column(filter: Filter) -> str | None:
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() == "true"
-        self.files = [x for x in options.get("files", "").split(",") if x]
         self.schema, self.filters = schema, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -194,15 +215,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, root = filesystem(self.path)
-        wanted = set(self.files)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        files = sorted((x.size, x.path) for x in found if x.is_file and not x.base_name.startswith(".") and (not wanted or x.base_name in wanted))
+        files = sorted((x.size, x.path) for x in found if x.is_file and not x.base_name.startswith((".", "_")))
+        if any(x.base_name == LISTED for x in found):
+            lists = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{root}/{LISTED}")) if x.base_name.endswith(".parquet")]
+            listed = [t for x in lists for t in parquet.read_table(x, filesystem=fs).to_pylist()]
+            files = sorted((x["bytes"], f"{root}/{x['file']}") for x in listed)
         parts: list[list[str]] = []
         room = 0
         for size, name in files:
             if size > room:
                 parts.append([])
-                room = FILE_BYTES // 8
+                room = PART_BYTES
             parts[-1].append(name)
             room -= size
         return [_Files(x) for x in parts] or [_Files([])]
@@ -222,21 +246,23 @@ class WarcReader(DataSourceReader):
         number = lambda x: None if x is None else int(x)
         for name in partition.files:
             with fs.open_input_file(name) as stream:
-                at = 0
-                while not (found := _Member(stream, at)).empty:
+                at, chunks = 0, _Chunks(stream)
+                while not (found := _Member(chunks, at)).empty:
                     h = found.headers()
                     row = {"record_type": h.get("warc-type"), "page_id": number(h.get("x-page-id")), "target_uri": h.get("warc-target-uri"), "payload_digest": h.get("warc-payload-digest"), "payload_bytes": number(h.get("x-payload-length")), "refers_to": number(h.get("x-refers-to-page-id"))}
                     if self.passes(row):
                         payload = None
-                        if self.payload and row["record_type"] == "response":
-                            block = found.block(int(h["content-length"]))
-                            payload = block[block.find(b"\r\n\r\n") + 4 :]
+                        # A revisit's block has no payload; what isn't an HTTP message is one as a whole.
+                        if self.payload and row["record_type"] != "revisit":
+                            payload = found.block(int(h["content-length"]))
+                            if h.get("content-type", "").startswith("application/http") and (end := payload.find(b"\r\n\r\n")) >= 0:
+                                payload = payload[end + 4 :]
                         yield (*row.values(), payload)
                     at = found.next()
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc").load(folder); options: payload (true), files (names, comma-joined; all)."""
+    """spark.read.format("warc").load(folder); option: payload (true)."""
 
     @classmethod
     def name(cls) -> str:
@@ -249,11 +275,11 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options), schema)
 
 
-def read(spark: SparkSession, path: str, files: list[str] | None = None, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of an archive. Filters are pushed to the source, which Spark allows by a setting of the session that this makes."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    reader = spark.read.format("warc").option("payload", str(payload).lower())
-    return (reader.option("files", ",".join(files)) if files is not None else reader).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(storage.qualified(spark, path))
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -262,21 +288,23 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     The largest ids are found by an aggregate over ids and digests alone, and only digests that several rows have meet
     the pages again, in a join whose hot digests Spark can split.
     """
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.withColumn("payload_digest", F.sha1(payload))
-    newest = rows.where(F.octet_length(payload) >= least).groupBy("payload_digest").agg(F.max(id_col).alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    older = F.col(id_col).isNull() | (F.col(id_col) < F.col("newest"))
-    return rows.join(newest, "payload_digest", "left").withColumn("refers_to", F.when(older, F.col("newest"))).drop("newest")
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
+    payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    rows = pages.select(row, F.col(f"`{id_col}`").alias("id"), F.sha1(payload).alias("digest"), (F.octet_length(payload) >= least).alias("large"))
+    newest = rows.where("large").groupBy("digest").agg(F.max("id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = rows.join(newest, "digest", "left")
+    older = F.col("id").isNull() | (F.col("id") < F.col("newest"))
+    kept = [F.col(f"row.`{c}`") for c in pages.columns if c not in ("payload_digest", "refers_to")]
+    return met.select(*kept, F.col("digest").alias("payload_digest"), F.when(older, F.col("newest")).alias("refers_to"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, then read the archives back; a response is described by its payload, a revisit by its headers."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = common.new_shared_path(spark, "warc")
-    files = write(with_revisits(pages), path)
-    if not files:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read(spark, path, files)
+    write(with_revisits(pages), path)
+    storage.remove_at_exit(spark, path)
+    found = read(spark, path)
     size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
     digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
     return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
