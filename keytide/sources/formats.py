@@ -335,7 +335,7 @@ def _write_files(rows: DataFrame, path: str, suffix: str, encode: Callable[[list
             fs, root = _open(target)
             fs.create_dir(root, recursive=True)
             name = f"part-{TaskContext.get().partitionId():06d}{suffix}"
-            with fs.open_output_stream(hidden := f"{root}/.{name}.{uuid.uuid4().hex}") as out:
+            with fs.open_output_stream(hidden := f"{root}/.{name}.{uuid.uuid4().hex}", compression=None) as out:
                 out.write(encode(held))
             fs.move(hidden, f"{root}/{name}")
             written.append(name)
