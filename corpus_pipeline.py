@@ -3,6 +3,11 @@ their weights, and the result packed into sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of documents,
 but for the last, which returns the packed pieces. A document that the mix takes several times is as many rows.
+
+Defined cases are those of the operators: documents without text or words are kept up to the mix, which never takes them;
+rows without an id are judged like any other; of rows that repeat id and text one stays; null sources are a source; ties
+between copies go to the smallest id; very long texts are read whole and packed in several pieces; further columns are
+carried along to the mix, whatever their names; empty tables give no rows; without labels of both kinds nothing is toxic.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keytide.llm import common, mixing, packing, pii, simhash, toxicity
+from keytide.sources import storage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = common.new_shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        storage.remove_at_exit(spark, path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
