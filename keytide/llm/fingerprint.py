@@ -8,9 +8,11 @@ paragraphs count whole, and only what differs is compared by leaves. The likenes
 branches over the bytes of both texts; the first leaf that differs locates an edit.
 
 The next document of each document needs no global order in one task: ids are cut into ranges, each range is sorted in
-its own partition, and the first document of a range is also sent to the range before it.
+its own partition, and the first document of a range is also sent to the range before it. Rows without an id, or of an id
+that many rows have, are cut into ranges by the hash that orders them.
 
-Defined cases: a null text is an empty one; two empty texts are alike (1), an empty and another are not (0); rows
+Defined cases: a null text is an empty one; two empty texts are alike (1), an empty and another are not (0); a very long
+text is one tree, whose task holds it in memory, and so are the rows that repeat both id and text in one task; rows
 without an id follow all others; rows with equal ids follow one another by a hash of their texts; the only row of a
 table is its own next; an empty table gives an empty result; further columns play no part.
 """
@@ -156,24 +158,36 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    limits = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(x)) for x in limits]), lambda x: x < F.col("doc_id"))) if limits else F.lit(0)
-    # Rows without an id come last.
-    keyed = rows.withColumns({"part": F.when(F.col("doc_id").isNull(), F.lit(len(limits))).otherwise(part), "anonymous": F.col("doc_id").isNull(), "h": F.xxhash64("text")})
+    known, anonymous = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    quantiles = sorted(int(x) for x in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else []
+    limits = sorted(set(quantiles))
+    # An id that several quantiles fall on has as many ranges of hashes, and so have the rows without one.
+    spread = [quantiles.count(x) for x in limits]
+    nameless = max(1, anonymous * parts // max(1, known + anonymous))
+    h = F.xxhash64("text")
+    slot = lambda n: F.least(F.floor((h / F.lit(2.0**64) + 0.5) * n), n - 1).cast("int")
+    after = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col("doc_id"))) if limits else F.lit(0)
+    own = F.try_element_at(F.array(*map(F.lit, spread)), after + 1) if limits else F.lit(None).cast("int")
+    hot = (own > 1) & (F.try_element_at(F.array(*map(F.lit, limits)), after + 1) == F.col("doc_id")) if limits else F.lit(False)
+    wide = max([nameless, *spread]) + 1
+    # Rows without an id come last; in a range, the rows of its hot greatest id.
+    part = F.when(F.col("doc_id").isNull(), F.lit((len(limits) + 1) * wide) + slot(F.lit(nameless))).otherwise(after * wide + F.when(hot, 1 + slot(own)).otherwise(0))
+    keyed = rows.withColumns({"range": part, "anonymous": F.col("doc_id").isNull(), "h": h})
     order = F.struct("anonymous", "doc_id", "h")
-    # One row a part.
-    firsts = sorted((r.part, r.first) for r in keyed.groupBy("part").agg(F.min(order).alias("first")).collect())
+    # One row a range.
+    firsts = sorted((r.range, r.first) for r in keyed.groupBy("range").agg(F.min(order).alias("first")).collect())
     if not firsts:
-        return keyed.select("part", F.lit(False).alias("tail"), "doc_id", "text")
+        return keyed.select(F.lit(0).alias("part"), F.lit(False).alias("tail"), "doc_id", "text")
+    numbers = spark.createDataFrame([(r, i) for i, (r, _) in enumerate(firsts)], "range int, part int")
     # The last part is followed by the first.
-    goes = [(first.anonymous, first.doc_id, first.h, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    goes = [(first.anonymous, first.doc_id, first.h, (i - 1) % len(firsts)) for i, (_, first) in enumerate(firsts)]
     small = spark.createDataFrame(goes, "f_anonymous boolean, f_id long, f_h long, serves int")
     same = (F.col("anonymous") == F.col("f_anonymous")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
-    marked = keyed.join(F.broadcast(small), same, "left")
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
+    marked = keyed.join(F.broadcast(numbers), "range").join(F.broadcast(small), same, "left")
+    its_own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
     serving = F.struct(F.col("serves").alias("part"), F.lit(True).alias("tail"))
-    sent = marked.select("anonymous", "doc_id", "h", "text", F.explode(F.when(F.col("serves").isNull(), F.array(own)).otherwise(F.array(own, serving))).alias("to"))
-    return sent.select("to.*", "anonymous", "doc_id", "h", "text").repartitionById(len(limits) + 1, F.col("part")).sortWithinPartitions("part", "tail", "anonymous", "doc_id", "h").select("part", "tail", "doc_id", "text")
+    sent = marked.select("anonymous", "doc_id", "h", "text", F.explode(F.when(F.col("serves").isNull(), F.array(its_own)).otherwise(F.array(its_own, serving))).alias("to"))
+    return sent.select("to.*", "anonymous", "doc_id", "h", "text").repartitionById(len(firsts), F.col("part")).sortWithinPartitions("part", "tail", "anonymous", "doc_id", "h").select("part", "tail", "doc_id", "text")
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

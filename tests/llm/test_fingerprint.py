@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from keytide.llm import fingerprint
 from keytide.llm.fingerprint import Tree, likeness
@@ -89,3 +91,69 @@ def test_the_next_across_partitions(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest() for i, t, n in following(rows)}
+
+
+def test_hot_and_missing_ids_are_spread(spark):
+    rows = [(i, f"text {i} " * 3) for i in range(60)] + [(7, f"seven {i}") for i in range(80)] + [(None, f"none {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        dealt = fingerprint.with_next(docs).groupBy("part").agg(F.count_if(F.col("doc_id") == 7).alias("seven"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.count_if(~F.col("tail")).alias("n")).collect()
+        got = sorted(((r.doc_id, r.edited_sha256) for r in fingerprint.compare(docs).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n for r in dealt) == len(rows)
+    assert sum(r.seven > 3 for r in dealt) > 3 and sum(r.none > 3 for r in dealt) > 3
+    assert got == sorted(((i, hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest()) for i, t, n in following(rows)), key=repr)
+
+
+def slow_likeness(a: str, b: str) -> float:
+    """Bytes of the pieces that both texts have, piece by piece, by taking them off one at a time."""
+
+    def pieces(t):
+        ends = np.cumsum(t.sizes).tolist()
+        return [t.data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    one, two = pieces(Tree(a)), pieces(Tree(b))
+    both = 0
+    for piece in one:
+        if piece in two:
+            two.remove(piece)
+            both += len(piece)
+    return 2 * both / (len(a.encode()) + len(b.encode()))
+
+
+def test_likeness_is_that_of_the_pieces_in_common():
+    """Comparing from the top, branch by branch, comes to the same but for pieces that moved between unlike branches."""
+    r = random.Random(6)
+    for _ in range(60):
+        a = cases.prose(r, 200)
+        at = r.randrange(len(a) - 60)
+        b = a[:at] + cases.prose(r, 5) + a[at + r.randrange(60) :]
+        assert likeness(Tree(a), Tree(b)) == pytest.approx(slow_likeness(a, b), abs=0.02)
+
+
+def test_inner_digests_are_those_of_their_children():
+    """The tree built anew from its leaves by its definition."""
+    r = random.Random(9)
+    for text in ("", "a", "one two\n\nthree", *(cases.prose(r, n) for n in (10, 300, 3000))):
+        t = Tree(text)
+        inner = lambda mark, parts: hashlib.blake2b(mark + b"".join(parts), digest_size=16).digest()
+        data, leaves, at = text.encode(), [], 0
+        for n in t.sizes.tolist():
+            leaves.append(data[at : at + n])
+            at += n
+        assert at == len(data)
+        lines: list[list[bytes]] = [[]]
+        for i, leaf in enumerate(leaves):
+            lines[-1].append(leaf)
+            if leaf.endswith(b"\n") and i + 1 < len(leaves):
+                lines.append([])
+        paragraphs = [(inner(b"P", [xxhash.xxh3_128_digest(x) for x in line]), line) for line in lines if line]
+        sections: list[list[bytes]] = [[]]
+        for i, (digest, line) in enumerate(paragraphs):
+            sections[-1].append(digest)
+            if (len(line) == 1 and len(line[0]) <= 1 or digest[0] % fingerprint.SECTION == 0) and i + 1 < len(paragraphs):
+                sections.append([])
+        assert t.fingerprint() == inner(b"D", [inner(b"S", s) for s in sections if s]).hex()
