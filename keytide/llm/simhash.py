@@ -5,14 +5,16 @@ bits, so each fingerprint is filed under every choice of that many blocks, and a
 together. B grows with the number of fingerprints (15, 35 or 70 choices), so that files stay short.
 
 In a file, pairs are discarded by a pivot distance table: the Hamming distances of each fingerprint to PIVOTS reference
-fingerprints. By the triangle inequality a pair whose distances to any pivot differ by more than RADIUS is no link; the
-survivors are verified. A task gives out not the links but a spanning forest of them. A file with more than FILE
+fingerprints. By the triangle inequality a pair whose distances to any pivot differ by more than RADIUS is no link: the
+first pivot's distances order the file, so that such pairs aren't made, the others discard, and the survivors are
+verified. A task gives out not the links but a spanning forest of them. A file with more than FILE
 fingerprints isn't held in memory: its fingerprints are set aside, dealt into parts, and every two parts meet in a task
 of their own, so no file is cut short.
 
 Components come from alternating star contractions of the forest edges, each a join and an aggregate, checkpointed.
 
-Defined cases: a null text is an empty one, whose fingerprint is zero and links like any other; a null id is never the
+Defined cases: a null text is an empty one, whose fingerprint is zero and links like any other; a very long text is
+hashed whole, SLICE shingles at a time; of rows with the smallest id and different texts the smaller hash stays; a null id is never the
 smallest, and a component without ids has none; repeated rows are equal texts; an empty table gives an empty result;
 further columns play no part (dedup() carries them along).
 """
@@ -76,18 +78,24 @@ def distance_table(prints: np.ndarray) -> np.ndarray:
 
 
 def links(prints: np.ndarray, keys: np.ndarray, across: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all linked pairs within equal keys, some at a time; rows are sorted by key. across: only pairs of different parts."""
+    """Row numbers of all linked pairs within equal keys, some at a time; rows are sorted by key. across: only pairs of different parts.
+
+    Within a key rows are ordered by their distance to the first pivot, so that a row's partners end where that differs
+    by more than RADIUS and pairs beyond are never made.
+    """
     table = distance_table(prints)
+    order = np.lexsort((table[:, 0], keys))
+    first, held = table[order, 0].astype(np.int16), keys[order]
     left = np.arange(len(prints) - 1)
     step = 1
     while len(left):
         left = left[left + step < len(prints)]
-        left = left[keys[left] == keys[left + step]]
-        a, b = left, left + step
+        left = left[(held[left] == held[left + step]) & (first[left + step] - first[left] <= RADIUS)]
+        a, b = order[left], order[left + step]
         if across is not None:
             other = across[a] != across[b]
             a, b = a[other], b[other]
-        for p in range(PIVOTS):
+        for p in range(1, PIVOTS):
             near = np.abs(table[a, p] - table[b, p]) <= RADIUS
             a, b = a[near], b[near]
             if not len(a):
