@@ -9,9 +9,9 @@ chunk visits the blocks only of buckets that are long enough.
 In a block, a query's local cosine threshold is its score over the product of its length and the block's longest. A bucket
 prunes by length where that is low: the candidates of sufficient length are a prefix of the block. It prunes by
 coordinates where it is high: the product over the query's FOCUS strongest coordinates, with the Cauchy-Schwarz bound for
-the others, must reach the score. Where high begins is measured in each block, on some queries of its first chunk, as
-the lowest threshold from which coordinates leave less than WORTH of the candidates. Survivors are verified by exact
-products.
+the others, must reach the score. Where high begins is measured in each block, on some queries of each chunk whose
+thresholds lie where nothing is known yet, as the lowest one from which coordinates leave less than WORTH of the
+candidates. Survivors are verified by exact products.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row without an
 id; an empty vector scores 0; shorter vectors count as padded with zeros; of rows that repeat a query's id the smallest
@@ -93,7 +93,8 @@ class Block:
         lengths = _length(vectors)
         order = np.argsort(-lengths, kind="stable")
         self.c, self.ids, self.lengths = vectors[order], ids[order], lengths[order]
-        self.steep: float | None = None
+        # The lowest local threshold at which coordinates have paid, and the highest at which they haven't.
+        self.steep, self.failed = math.inf, -math.inf
         self._columns = self._squares = None
 
     def columns(self) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +114,11 @@ class Block:
         return np.flatnonzero(q[at] @ columns[at, :reach] + rest * others >= least - slack)
 
     def measure(self, q: np.ndarray, ql: np.ndarray, least: np.ndarray, cosine: np.ndarray, reach: np.ndarray) -> None:
-        """Settle from which local threshold on coordinates prune."""
-        self.steep = math.inf
+        """Settle whether coordinates pay at thresholds that nothing is known of yet, from the highest down."""
         order = np.argsort(-cosine, kind="stable")
-        for i in order[np.unique(np.linspace(0, len(order) - 1, PROBES).astype(int))] if len(order) else ():
+        for i in order[np.unique(np.linspace(0, len(order) - 1, PROBES).astype(int))]:
             if not 0 < cosine[i] <= 1 or len(self.near(q[i], ql[i], least[i], int(reach[i]))) > WORTH * reach[i]:
+                self.failed = float(cosine[i])
                 break
             self.steep = float(cosine[i])
 
@@ -138,9 +139,10 @@ def search_block(q: np.ndarray, q_id: np.ndarray, least: np.ndarray, block: Bloc
     reach[least <= 0] = len(c)
     alive = (cosine <= 1 + slack) & (reach > 0)
     exact = bound < EXACT
-    if block.steep is None and exact and alive.any():
-        block.measure(q[alive], ql[alive], least[alive], cosine[alive], reach[alive])
-    steep = alive & (cosine >= (block.steep if exact and block.steep is not None else np.inf))
+    unknown = alive & (cosine > block.failed) & (cosine < block.steep)
+    if exact and unknown.any():
+        block.measure(q[unknown], ql[unknown], least[unknown], cosine[unknown], reach[unknown])
+    steep = alive & exact & (cosine >= block.steep)
     flat = np.flatnonzero(alive & ~steep)
     for lo in range(0, len(flat), 64):
         rows = flat[lo : lo + 64]

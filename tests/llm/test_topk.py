@@ -63,8 +63,8 @@ def test_pruning_by_coordinates_loses_nothing(monkeypatch):
     scores = (q @ c.T).astype(int)
     for share in (0.0, 0.1, 0.5, 0.9, 0.99, 1.0):
         least = np.array([share * s.max() for s in scores])
-        for steep in (None, -np.inf, np.inf):
-            block.steep = steep
+        for steep, failed in ((np.inf, -np.inf), (-np.inf, -np.inf), (np.inf, np.inf)):
+            block.steep, block.failed = steep, failed
             got = topk.search_block(q, np.arange(1000, 1010), least, block, 1000)
             want = sorted((1000 + i, j, int(s)) for i, row in enumerate(scores) for j, s in enumerate(row) if s >= least[i])
             assert sorted(zip(*got, strict=True)) == want
@@ -78,6 +78,8 @@ def test_blocks_prune_by_coordinates_where_thresholds_are_high(spark):
     rows = [(i, [float(x) for x in np.float32((centers[i % 40] + 0.03 * r.normal(size=64)) * r.lognormal(0, 0.7))], 0) for i in range(4000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     assert 0 < topk.verified_share(df, F.col("id") % 100 == 0) < 0.5
+    level = spark.createDataFrame([(i, [float(x) for x in np.float32(np.array(v) / np.linalg.norm(v))], 0) for i, v, _ in rows], SCHEMA)
+    assert 0 < topk.verified_share(level, F.col("id") % 100 == 0) < 0.9  # equal lengths: by coordinates alone
     got = topk.top_k(df, F.col("id") % 1000 == 0, k=5)
     assert sorted(map(tuple, got.collect())) == slow(rows, 5, lambda i: i % 1000 == 0)
 
