@@ -16,8 +16,15 @@ from ..sources import storage
 
 #: ASCII white space, the word separator of every contract here.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Texts handled at a time in a Python worker. Spark bounds an Arrow batch by rows and bytes; operators cut it further and change no setting of the session.
+#: Rows of an Arrow batch: operators that hand texts to Python set this one value for the session where it still has Spark's own, which would keep ten times as many texts in an executor's memory, and otherwise cut larger batches.
 BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS for the session, unless it has a bound of its own."""
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +66,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterable[dict] |
     ``make()`` runs once in each task and returns ``f(columns) -> columns`` where columns is a dict of lists, of at most
     BATCH_ROWS rows at a time.
     """
+    bound_batches(df.sparkSession)
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -211,6 +211,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 waiting = None if tail else (part, doc_id, text, tree)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=list(names))
 
+    common.bound_batches(docs.sparkSession)
     return with_next(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, n_paragraphs long, edit_from long")
 
 

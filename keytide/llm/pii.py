@@ -229,6 +229,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     def clean(texts):
         return texts.map(redacted, na_action="ignore")
 
+    common.bound_batches(docs.sparkSession)
     out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))

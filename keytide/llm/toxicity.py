@@ -279,6 +279,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Lexicon | None:
     """The lexicon, its exceptions and the score's model, from docs (doc_id, text) and labels (doc_id, label); None without labels of both kinds."""
+    common.bound_batches(docs.sparkSession)
     sample = common.materialize(_sample(docs, labels, label_col))
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):

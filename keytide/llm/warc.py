@@ -92,6 +92,7 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", refers_col: str = "refers_to", digest_col: str = "payload_digest") -> None:
     """Write a record a row below path. A file has a name of its own attempt, is moved when it is whole, and counts when the list of files is committed."""
+    common.bound_batches(pages.sparkSession)
     target = storage.qualified(pages.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
