@@ -47,7 +47,7 @@ SEPARATOR = 0
 #: Phases of the fractional solution, and how fast prices fall with the share covered.
 PHASES, RATE = 10, 0.3
 #: A configuration is rounded if its price is at least this share of the best one's; best fit gets this share of the pieces, or what a round that places less than LEAST of them leaves.
-TIGHT, RESIDUE, LEAST = 0.999, 0.05, 0.01
+TIGHT, RESIDUE, LEAST = 0.9995, 0.1, 0.01
 #: Words and characters whose ids a worker remembers (about 100 MB), and characters tokenized at a time.
 CACHE, CACHE_CHARS, TAKE = 500_000, 8_000_000, 2_000_000
 #: Pieces in a group of one length and salt, about, and groups that are broadcast at most.
