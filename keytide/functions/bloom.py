@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from . import scalars
 
 #: 16 MB of bits.
@@ -51,7 +52,7 @@ def positions(keys: DataFrame, key: str, m: int, k: int) -> DataFrame:
     return keys.withColumn("positions", at(F.col(key)))
 
 
-def build(keys: DataFrame, key: str = "key", n: int | None = None, p: float = 0.01) -> BloomFilter:
+def build(keys: DataFrame, key: str = "key", n: int | None = None, p: float = config.Config.bloom_fpp) -> BloomFilter:
     n = keys.count() if n is None else n
     m, k = size(max(1, n), p)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .. import model
+from .. import config, model
 from . import progress, reads, state
 
 
@@ -58,5 +58,5 @@ class KvReader:
             return reads.get(self._commands().limit(0), key)
         return reads.get(self._at(mode, session_index, min_version, timeout), key)
 
-    def scan(self, prefix: str = "", limit: int = 100, mode: str | None = None, session_index: int | None = None, min_version: int | None = None, timeout: float = 10.0) -> DataFrame:
+    def scan(self, prefix: str = "", limit: int = config.Config.scan_limit, mode: str | None = None, session_index: int | None = None, min_version: int | None = None, timeout: float = 10.0) -> DataFrame:
         return reads.scan_prefix(self._at(mode, session_index, min_version, timeout), prefix, limit)

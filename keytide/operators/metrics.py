@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import scalars
 from . import state
 
@@ -72,7 +73,7 @@ def statuses(valid: DataFrame, rejected: DataFrame) -> DataFrame:
     return valid.select("op", F.lit("ok").alias("status")).unionByName(rejected.select("op", F.col("reason").alias("status")))
 
 
-def status(cmds: DataFrame, applied: DataFrame | None = None, node_id: str = "local", peers: tuple[str, ...] = (), term: int = 0) -> DataFrame:
+def status(cmds: DataFrame, applied: DataFrame | None = None, node_id: str = config.Config.node_id, peers: tuple[str, ...] = (), term: int = 0) -> DataFrame:
     """One row: the log's greatest version, the applied one, readiness, counts of keys and the running watches. A single driver leads itself; its term is the number of its log's last append."""
     latest = state.state(cmds).agg(F.coalesce(F.max("version"), F.lit(0)).alias("commit_index"), F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("deleted")).alias("live_keys"))
     # The latest row of some key has the greatest version, so one pass gives all; another log's is a frame of one row.

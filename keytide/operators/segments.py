@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import config, model
 from ..sources import storage
 from . import progress, state
 
-TIER_SEGMENTS, TIER_RATIO = 4, 10
+TIER_SEGMENTS, TIER_RATIO = config.Config.tier_segments, config.Config.tier_ratio
 #: Manifests whose folders stay.
 KEEP = 2
 _EMPTY = {"segments": {}, "noted": [], "mark": 0, "top": 0, "batch": -1, "compacted": -1}
@@ -163,7 +163,7 @@ def write_snapshot(cmds: DataFrame, path: str) -> int:
     return top
 
 
-def keep_snapshots(cmds: DataFrame, path: str, threshold: int, retain: int = 3) -> int | None:
+def keep_snapshots(cmds: DataFrame, path: str, threshold: int = config.Config.snapshot_threshold, retain: int = config.Config.snapshot_retain) -> int | None:
     """Write a snapshot below path when the log is threshold versions or more beyond the last one, delete all but the newest, and return its version; None if none is due. A snapshot counts from when its meta file is whole."""
     spark = cmds.sparkSession
     top = cmds.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]

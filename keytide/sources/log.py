@@ -48,7 +48,7 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "number") -> Dat
 class Log:
     """A log below a path; partitions: files of an append, Spark's choice if unset."""
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int | None = None):
+    def __init__(self, spark: SparkSession, path: str = config.Config.data_dir, partitions: int | None = None):
         self.spark, self.path, self.partitions = spark, storage.qualified(spark, path), partitions
 
     def _commits(self) -> str:

@@ -68,14 +68,16 @@ def changes_stream(cmds: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, value binary, version long, deleted boolean, replaced long", "version long", "append", GroupStateTimeout.NoTimeout)
 
 
-def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 0, settings: config.Config = config.Config()) -> StreamingQuery:
+def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int | None = 0, settings: config.Config = config.Config()) -> StreamingQuery:
     """Write each micro-batch's latest rows as a segment and note its versions, in one manifest, so that they count once.
 
     A repeated batch that the manifest already has is skipped: its rows may have been compacted since. With
-    compact_every, every so many batches a chosen tier becomes a segment, which the manifest notes as well. settings: bounds
+    compact_every (None: as the settings say), every so many batches a chosen tier becomes a segment, which the manifest notes as well. settings: bounds
     of a segment's files and of a tier.
     """
 
+    every = settings.compaction_batches if compact_every is None else compact_every
+
     def write(batch: DataFrame, i: int) -> None:
         spark = batch.sparkSession
         table = segments.manifest(spark, path)
@@ -91,7 +93,7 @@ def segment_sink(cmds: DataFrame, path: str, checkpoint: str, trigger: dict | No
             table["batch"] = i
             segments.publish(spark, path, table)
             table = segments.manifest(spark, path)
-        if compact_every and (i + 1) % compact_every == 0 and table["compacted"] < i:
+        if every and (i + 1) % every == 0 and table["compacted"] < i:
             segments.compact_tier(spark, path, 2 * i + 1, settings.tier_segments, settings.tier_ratio, batch=i)
 
     return cmds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
