@@ -5,7 +5,6 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -110,11 +109,3 @@ def arrow_schema(schema: str) -> pa.Schema:
 def id_fold(key: Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo folds; null for a null id."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)
-
-
-def id_fold_of(key: int | None, folds: int) -> int | None:
-    return None if key is None else zlib.crc32(str(key).encode()) % folds
-
-
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))

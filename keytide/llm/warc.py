@@ -21,7 +21,6 @@ and no rows; further columns play no part.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import os
 import struct
